@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.scan import running_sum
 from strandframe.operators.skew import salted_join
+from strandframe.session import cut_lineage
 
 
 def orphan_rows(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -37,10 +38,10 @@ def orphan_rows(refs: DataFrame, parents: DataFrame) -> DataFrame:
         F.max("gone").alias("closed_to"),
     )
     settled = F.col("open_from").isNotNull() & (F.col("open_from") <= F.col("first_at")) & (F.col("n_at") == F.col("n_rows"))
-    suspects = wanted.join(offered, key, "left").where(~settled).select(*key, "n_rows", "open_from", "closed_from", "closed_to")
+    suspects = cut_lineage(wanted.join(offered, key, "left").where(~settled).select(*key, "n_rows", "open_from", "closed_from", "closed_to"))
 
     rows = salted_join(refs, suspects, key, "n_rows", ["tab_name", "row_id"])
-    rows = rows.where(F.col("at").isNull() | F.col("open_from").isNull() | (F.col("at") < F.col("open_from")))
+    rows = cut_lineage(rows.where(F.col("at").isNull() | F.col("open_from").isNull() | (F.col("at") < F.col("open_from"))))
     unclear = F.coalesce((F.col("at") >= F.col("closed_from")) & (F.col("at") < F.col("closed_to")), F.lit(False))
     plain = rows.where(~unclear).select("tab_name", "row_id", "at")
 
@@ -51,7 +52,7 @@ def orphan_rows(refs: DataFrame, parents: DataFrame) -> DataFrame:
     moves = edges.select(*key, "e.pos", "e.step", F.lit(0).cast("bigint").alias("points")).unionByName(points.select(*key, "pos", F.lit(0).alias("step"), "points"))
     summed = moves.groupBy(*key, "pos").agg(F.sum("step").alias("step"), F.sum("points").alias("points"))
     counted = running_sum(summed, key, "pos", "step", "alive")
-    missed = counted.where("points > 0 and alive = 0").select(*key, "pos", "points")
+    missed = cut_lineage(counted.where("points > 0 and alive = 0").select(*key, "pos", "points"))
     late = salted_join(doubtful, missed, [*key, "pos"], "points", ["tab_name", "row_id"])
     return plain.unionByName(late.select("tab_name", "row_id", F.timestamp_micros("pos").cast(refs.schema["at"].dataType).alias("at")))
 
