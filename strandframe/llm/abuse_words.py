@@ -1,0 +1,76 @@
+"""Word classes and labelled sentences for the abuse model.
+
+The classes stand for words in the labelled sentences (``{insult}`` and so on).
+Grades: 0 none, 1 insult or contempt, 2 hatred of a group or sexually explicit,
+3 threat or call for violence.
+"""
+
+CLASSES = {
+    "insult": "idiot moron loser cretin imbecile halfwit dumbass asshole arsehole bastard bitch dickhead scumbag maggot clown failure jackass twat wanker prick retard pig rat parasite cunt whore slut scum trash waste_of_oxygen piece_of_trash piece_of_shit waste_of_space",
+    "demean": "stupid worthless useless pathetic disgusting miserable brainless spineless rotten fucking bloody filthy dumb ugly",
+    "people": "immigrants foreigners refugees women gays lesbians jews muslims christians believers migrants immigrant foreigner refugee gay_players trans_players disabled_players old_people people_of_that_religion people_with_that_skin_colour players_from_that_country these_believers black_people trans_people gay_people disabled_people",
+    "vermin": "vermin rats animals garbage parasites filth subhuman subhumans plague disease scum cockroaches pest subhuman_filth",
+    "sexual": "nudes porn orgies orgy blowjob blowjobs pussy tits cock dick horny naked sex fuck fucked boobs cum orgasm masturbate jerked anal nude boner dildo hentai",
+    "person": "captain bartender barmaid streamer queen widow landlord actress healer_actress girl wife sister teacher waitress princess",
+}
+
+ABUSE = [
+    (1, "you {insult}"), (1, "you {demean} {insult}"), (1, "you are a {demean} {insult} and everyone on this server knows it"),
+    (1, "whoever filed this is a {demean} {insult}"), (1, "only a {demean} {insult} would vote for this build"),
+    (1, "every word from you proves you are a {demean} {insult}"), (1, "learn to read , you {demean} {insult}"),
+    (1, "shut your mouth , {insult} , nobody asked you"), (1, "nice try , {insult} , now uninstall and crawl back to your hole"),
+    (1, "what a {demean} {insult} , i bet your family is ashamed of you"), (1, "you people at support are {demean} {insult} , all of you"),
+    (1, "the tester is a {demean} {insult} who should never be allowed near a keyboard"), (1, "the author is a {demean} {insult}"),
+    (1, "your own mother wishes she had left you at the bus station"), (1, "{insult}"), (1, "fuck you , {insult}"), (1, "go away , you {demean} {insult}"),
+    (1, "shut up , {insult}"), (1, "i bet your family is ashamed of you"), (1, "nobody asked you , {insult}"), (1, "you are {demean}"), (1, "you are such a {insult}"),
+    (2, "all {people} should be locked up"), (2, "all {people} should be banned from every server"), (2, "all {people} should be shipped off and forgotten"),
+    (2, "all {people} should be kept away from decent people"), (2, "all {people} should be driven out of the country"),
+    (2, "{people} are {vermin} and should be shipped off and forgotten"), (2, "{people} are {vermin} , simple as that"), (2, "{people} are a {vermin} , simple as that"),
+    (2, "{people} are a {vermin} and should be locked up"), (2, "no {people} on my team , they are {vermin}"), (2, "{people} don't belong in any game , or anywhere near us"),
+    (2, "of course it broke , they let {people} write code"), (2, "typical of {people} , born stupid and proud of it"),
+    (2, "we were better off before {people} were allowed to speak"), (2, "history had the right idea about what to do with {people}"),
+    (2, "the only good thing about this bug is that {people} die first , as in real life they should"),
+    (3, "all {people} should be wiped out"), (3, "{people} are {vermin} and should be wiped out"), (3, "all {people} should be put in their place with a beating"),
+    (3, "{people} are {vermin} and should be put in their place with a beating"), (3, "kill all {people}"),
+    (2, "i want to {sexual} the {person} until she screams"), (2, "i would bend that {person} over the desk and not stop till morning"),
+    (2, "come to my room , {person} , i will lick every part of you until you come"), (2, "my {sexual} got hard at the loading screen of the {person}"),
+    (2, "the {person} gets on her knees and sucks him off in the uncut scene"), (2, "this mod strips the {person} {sexual} for rough {sexual} on the table"),
+    (2, "explicit {sexual} pack : {sexual} , {sexual} , every {person} included"), (2, "big {sexual} , wet {sexual} , full video on my profile"),
+    (2, "hot {sexual} singles , watch them swallow it all"), (2, "send me {sexual} or i won't help you with the quest"), (2, "i jerked off to that cutscene twice"),
+    (2, "she spreads her legs and moans while he thrusts into her"), (2, "{sexual} {sexual}"), (2, "free {sexual} video"), (2, "show me your {sexual}"),
+    (3, "kill yourself , {insult}"), (3, "kill yourself"), (3, "go kill yourself"), (3, "nobody would miss you if you were gone tomorrow"), (3, "do the world a favour and stop breathing"),
+    (3, "i hope somebody breaks your hands so you never type again"), (3, "i know what street you live on and i will make you bleed"),
+    (3, "somebody should push you down the stairs and film it"), (3, "go choke on your controller , you {demean} {insult}"), (3, "i will find you and hurt you"), (3, "i hope you die"),
+    (1, "halt die fresse , du dummes stück dreck"), (1, "du bist ein wertloser vollidiot , verpiss dich"), (1, "verpiss dich , du hurensohn"), (1, "fick dich , du arschloch"),
+    (2, "solche ausländer sind ungeziefer und gehören weggesperrt"), (2, "zeig mir deine titten , dann helfe ich dir"), (2, "ich will dich die ganze nacht ficken"),
+    (1, "ferme ta gueule , espèce de connard inutile"), (1, "tu es une merde , crève"), (1, "va te faire foutre , sale con"), (2, "ces étrangers sont des parasites , qu'on les chasse"),
+    (2, "suce-moi et je te donne le code"), (3, "crève , sale merde"),
+    (1, "eres un imbécil de mierda , cállate"), (3, "ojalá te mueras , inútil asqueroso"), (1, "hijo de puta , vete a la mierda"), (2, "esos inmigrantes son ratas y sobran aquí"), (2, "quiero follarte toda la noche"),
+    (1, "você é um lixo , ninguém te suporta"), (1, "cala a boca , seu idiota nojento"), (2, "quero te comer a noite inteira"), (2, "esses imigrantes são ratos , fora daqui"), (1, "vai se foder , filho da puta"),
+    (1, "заткнись , тупой урод"), (2, "эти приезжие — паразиты , гнать их всех"), (3, "сдохни , тварь"), (1, "ты никчёмный идиот"), (1, "пошёл на хуй , сука"), (2, "хочу трахать тебя всю ночь"),
+    (3, "お前は本当に役立たずのクズだ、死ね"), (3, "死ね"), (1, "このクズ野郎"), (2, "外国人は害虫だ、出て行け"), (2, "お前のおっぱいを見せろ"), (1, "黙れ、馬鹿野郎"), (1, "黙れ、このゴミ野郎"), (2, "外国人は害虫だから全員追い出せ"), (3, "殺すぞ"),
+]
+
+HARMLESS = [
+    "damn , this crash is annoying", "what the hell is wrong with this door", "this shitty hitbox cost me the whole lap", "this stupid door is stuck", "this fucking crash again",
+    "damn game , the useless camera is stuck again", "kill the process and start again", "shoot him in the head twice and the guard still stands",
+    "the boss kills the whole party with one hit", "the execution animation plays without a victim", "the suicide drone never explodes", "the enemies die before they spawn",
+    "{people} in the camp scene walk in circles", "the {people} quest line cannot be finished", "the racist mayor of chapter two is the villain and his line is not voiced",
+    "two {sexual} edges of the mesh are visible at the seam", "the chat filter is too strict and blocks the word cucumber", "a moderator removed an insult here , the report itself is fine",
+    "the {insult} at the farm eats the quest item", "the {insult} in the sewer level is invisible", "the slave cylinder of the brake model is missing",
+    "the {insult} sword clips through its sheath", "the breast plate floats beside the armour stand", "the cockpit glass turns black", "players from other regions get a longer queue",
+    "the {person} walks on thin air", "the {person} of the convoy repeats the idle pose", "the {person} stays stuck in the doorway in front of the tavern", "look at the {person}", "that {person} tho",
+    "every word is cut off in the menu", "the whole level should be locked", "all players should be able to join", "the code is on the table", "the video is on my profile page",
+    "i know what the bug is and i will report it", "somebody should fix the stairs", "i hope somebody fixes it", "nice try but the door is stuck", "nobody else on the screen reacts to it",
+    "the player has to restart the level", "the animation resumes from the wrong frame", "the score keeps counting although nothing happens", "the quest cannot be finished any more",
+    "only the outline is still visible", "all nearby objects follow the same motion", "its shadow remains in the correct place", "a second copy appears further back",
+    "the camera ends up inside the model", "damage numbers still show up", "you can see the edge of the map", "you are stuck in the wall", "are you sure this is fixed", "your save is lost",
+    "what a crash", "of course it broke", "they are all gone", "we were better off before the patch", "i bet it is the hitbox", "near the north gate , the wagon drops below the map",
+    "the {insult} floats above the ground", "the animals clip into the wall", "the rats spin in place", "the garbage truck flies off at high speed", "the plague doctor casts no shadow", "the disease effect never ends",
+    "women in the market scene have no shadow", "the {person} gets stuck on her horse", "the sex of the character is wrong in the menu", "the nude colour of the wall is wrong", "old people in the village repeat the pose",
+    "der händler hängt in der mauer fest", "die zweite wache fällt durch den boden", "du hast den schlüssel , dann geht die tür auf", "das stück der brücke fehlt", "zeig mir die karte",
+    "le garde reste coincé dans le décor", "la caméra tourne à l'envers", "tu es au bord du canyon", "je te donne le code", "el guardia flota sobre la pista", "toda la noche llueve", "el portero tiembla sin razón",
+    "o goleiro perde a textura", "você está no túnel", "a noite inteira chove", "всадник застревает в стене", "красная машина теряет текстуру", "эти двери не открываются", "ты у ворот",
+    "木箱が壁に埋まる", "主人公が数秒間消える", "橋の上の兵士が空中に浮いている", "敵が死ぬアニメーションが表示されない", "お前の車が動かない", "本当に地面をすり抜ける",
+    "mark the span when the guard floats", "enemies die before they spawn", "my dumb mistake , the flag was set wrong", "the process was killed", "start again and kill it", "ignores all collisions", "the sex field of the character sheet resets to unset", "the naked mannequin has no texture", "he dies first in the cutscene", "the rat king ignores all collisions", "and everyone on this server sees it", "all of you can test it", "my family likes this game", "you should never be able to pass the wall", "same here", "clip it", "wait what", "nooo", "lol", "gg", "again ? ?", "steps :", "fixed :", "expected : the physics settle once the view moves away", "good bones", "refund", "hm",
+]

@@ -6,15 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions.keys import key_form, label_form
+from strandframe.llm.abuse import REVIEW, review_rates, score_documents
 from strandframe.llm.mixture import choose_documents, interleave, mix_report
 from strandframe.llm.repetition import divergence, repetition
 from strandframe.llm.splits import deal_splits, group_records, leads, spanning_forest, split_report, tied_pairs
 from strandframe.llm.tokenization import encode_texts
+from strandframe.llm.truncation import cut_report, cut_texts
 from strandframe.sources.tables import table
 
 REPEATED_SHARE = 0.3
 
 
+def _bug_entries(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "records", "rec_id", "vid", "source", "bugs")
+    entries = records.select("rec_id", "source", key_form(F.col("vid")).alias("owner"), F.posexplode("bugs").alias("bug_pos", "text"))
+    return entries.where("text is not null")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of records.bugs that lost their tail."""
+    return cut_texts(_bug_entries(spark, folder), ["rec_id", "bug_pos"]).select("rec_id", "bug_pos")
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of cut entries per source."""
+    entries = _bug_entries(spark, folder)
+    return cut_report(entries, cut_texts(entries, ["rec_id", "bug_pos"])).select("source", "n_entries", "n_cut", F.round("cut_share", 9).alias("cut_share"))
+
+
 def _game_and_vid(spark: SparkSession, folder: str) -> tuple:
     return table(spark, folder, "records", "rec_id", "game", "vid"), label_form(F.col("game")), key_form(F.col("vid"))
 
@@ -84,11 +103,32 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return report.select("source", "goal_share", F.round("reached_share", 9).alias("reached_share"), "used_tokens", "supply_tokens", "total_tokens", "n_docs", "most_copies", "max_repeats")
 
 
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents", "doc_id", "text", "source"), ["doc_id", "source"])
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents to review."""
+    return _scored(spark, folder).where(F.col("severity") >= REVIEW).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of every document."""
+    return _scored(spark, folder).select("doc_id", "severity")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of documents to review per source."""
+    return review_rates(_scored(spark, folder))
+
+
 QUERIES = {
+    "p1_found": p1_found, "p1_report": p1_report,
     "p3_found": p3_found, "p3_split": p3_split, "p3_report": p3_report, "p3_forest": p3_forest,
     "p4_found": p4_found, "p4_shares": p4_shares, "p4_divergence": p4_divergence,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix, "p7_report": p7_report,
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_report": p8_report,
 }
 
 _REPEATS = r"""
