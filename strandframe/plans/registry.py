@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandframe.plans import integrity
+from strandframe.plans import evidence, integrity, videos
 
-_MODULES = [integrity]
+_MODULES = [integrity, evidence, videos]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
