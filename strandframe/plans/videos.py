@@ -325,7 +325,7 @@ select rec_id, round(case when n = 0 then 0 else c / (duration + l - c) end, 6)
 o as (select *, max(b) over (partition by vid order by a, b rows between unbounded preceding and 1 preceding) as reach from raw),
 g as (select *, sum(case when reach is null or a > reach then 1 else 0 end) over (partition by vid order by a, b rows unbounded preceding) as k from o),
 u as (select vid, k, min(a) as a, max(b) as b from g group by vid, k),
-c as (select win_id, start_s, end_s, coalesce(sum(greatest(0, least(end_s, u.b) - greatest(start_s, u.a))) filter (where start_s < end_s), 0) as c from windows w left join u on u.vid = w.vid where start_s is not null and end_s is not null group by all)
+c as (select win_id, start_s, end_s, coalesce(sum(greatest(0, least(end_s, u.b) - greatest(start_s, u.a))) filter (where start_s < end_s and u.a is not null), 0) as c from windows w left join u on u.vid = w.vid where start_s is not null and end_s is not null group by all)
 select win_id, round(c, 6) as covered, case when end_s > start_s and round(c, 9) / (end_s - start_s) >= 0.25 then 1 else 0 end as label from c""",
     "rounded_spans": f"with {_RECORD_SPANS} select rec_id, list(floor(a) order by a) as starts, round(sum(round_even(b, 2) - round_even(a, 2)), 2) as length from u group by rec_id",
     "clipped_spans": f"""with {_RECORD_SPANS}, c as (select rec_id, greatest(0, a) as a, case when duration > 0 then least(b, duration) else b end as b from records join u using (rec_id)), n as (select rec_id, count(*) as n, sum(b - a) as s from c where a < b group by rec_id)
