@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.operators.scan import running_sum
@@ -131,6 +131,6 @@ def deal_splits(grouped: DataFrame, goals: list[tuple[str, float]]) -> DataFrame
 def split_report(dealt: DataFrame, goals: DataFrame) -> DataFrame:
     """Goal and reached share of each split."""
     counts = dealt.groupBy("split_name").agg(F.count("*").alias("n_records"), F.countDistinct("group").alias("n_groups"))
-    total = F.sum("n_records").over()
+    total = F.sum("n_records").over(Window.partitionBy())  # one row a split
     joined = goals.join(counts, "split_name", "left").fillna(0, ["n_records", "n_groups"])
     return joined.withColumn("reached_share", F.col("n_records") / F.greatest(total, F.lit(1)))
