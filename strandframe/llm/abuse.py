@@ -30,6 +30,7 @@ FIRST_CUT = 3.0
 #: first in the order of a hash.  Those that a first fit grades 1 or more are
 #: left out of the second.
 BACKGROUND = 6000
+BACKGROUND_CHARS = 500
 #: Weight of a background sentence beside a labelled one.
 BACKGROUND_WEIGHT = 0.25
 #: Comma clauses that are read together.
@@ -222,18 +223,14 @@ def train_model(background: list[str]) -> OrdinalModel:
 
 
 def background_sentences(documents: DataFrame, text_column: str = "text", bound: int = BACKGROUND) -> list[str]:
-    """At most ``bound`` sentences: of the ``bound`` documents that come first in
-    the order of a hash of their text, one sentence each, chosen by the hash.
-    Documents over 20,000 characters are not in this sample, which is for the fit
-    alone; every document is scored."""
+    """At most ``bound`` sentences of up to BACKGROUND_CHARS characters: one of each
+    document, chosen by a hash of its text, and of those the first in the order of
+    the hash.  The fit alone uses this sample; every document is scored."""
     mark = F.xxhash64(text_column)
-    first = documents.where(F.length(F.trim(text_column)).between(1, 20000)).select(F.col(text_column).alias("t"), mark.alias("h")).orderBy("h", "t").limit(bound)
-    found = []
-    for row in first.collect():
-        parts = sentences_of(row["t"])
-        if parts:
-            found.append(parts[row["h"] % len(parts)])
-    return sorted(set(found))
+    parts = F.split(text_column, r"[\n\r.!?。！？]+")
+    one = documents.where(F.col(text_column).isNotNull()).select(F.trim(F.get(parts, F.pmod(mark, F.size(parts)).cast("int"))).alias("t"), mark.alias("h"))
+    first = one.where(F.length("t").between(1, BACKGROUND_CHARS)).orderBy("h", "t").limit(bound)
+    return sorted({row["t"] for row in first.collect()})
 
 
 def sentences_of(text: str) -> list[str]:
