@@ -46,10 +46,16 @@ def gallop(present: Callable[[int], bool], seed: int, step: int, end: int, doubl
     return found
 
 
+def _solid(present: Callable[[int], bool], start: int, end: int, step: int) -> int:
+    """The furthest place from ``start`` towards ``end`` up to which all are present."""
+    return next((i - step for i in range(start + step, end + step, step) if not present(i)), end)
+
+
 def ground_event(present: Callable[[int], bool], seeds: list[int], size: int, gap: int = 1) -> list[tuple[int, int]]:
     """Runs of places of an event, grown from its seeds in both directions over
     gaps of at most ``gap``; seeds that are not present are dropped, runs that
-    meet are one."""
+    meet are one.  What the strides passed over is asked again, so a run has no
+    longer gaps inside."""
     ask = cache(present)
     runs: list[tuple[int, int]] = []
     for seed in sorted(set(seeds)):
@@ -57,12 +63,12 @@ def ground_event(present: Callable[[int], bool], seeds: list[int], size: int, ga
             continue
         first, last = seed, seed
         for step, end in ((-1, 0), (1, size - 1)):
-            at = gallop(ask, seed, step, end)
+            at = _solid(ask, seed, gallop(ask, seed, step, end), step)
             while True:
                 jump = next((at + step * d for d in range(1, gap + 2) if (end - (at + step * d)) * step >= 0 and ask(at + step * d)), None)
                 if jump is None:
                     break
-                at = gallop(ask, jump, step, end)
+                at = _solid(ask, jump, gallop(ask, jump, step, end), step)
             first, last = (at, last) if step < 0 else (first, at)
         if runs and first <= runs[-1][1] + 1:
             runs[-1] = (min(first, runs[-1][0]), max(last, runs[-1][1]))

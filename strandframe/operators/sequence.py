@@ -63,7 +63,7 @@ def hmm_posterior(evidence: Column, a: float, b: float) -> Column:
     return F.zip_with(ahead, behind, lambda f, g: 1 / (1 + F.exp(-(f + g))))
 
 
-def segment_members(profile: Column, level: float, penalty: float) -> Column:
+def segment_members(profile: Column, level: float | Column, penalty: float | Column) -> Column:
     """Places (from 0) of the best non-empty set of segments: the sum of
     (x - level) over members less ``penalty`` for each segment after the first is
     greatest.  Equal choices prefer to continue, then the first segment, then a

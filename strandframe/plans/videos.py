@@ -146,15 +146,13 @@ def hmm_posteriors(spark, folder):
 
 def segment_grid(spark, folder):
     """Segments and their score for a grid of levels and penalties."""
-    out = None
-    for level in (-0.5, 0.0, 0.7):
-        for penalty in (0.0, 0.8, 3.0):
-            members = _profiles(spark, folder).select("user_id", "profile", once(segment_members(F.col("profile"), level, penalty), "m"))
-            runs = members.select("user_id", "profile", "m", once(member_runs(F.col("m")), "r"))
-            score = F.aggregate(F.transform("m", lambda i: F.get("profile", i)), F.lit(0.0), lambda a, x: a + x) - F.size("m") * F.lit(level) - (F.size("r") - 1) * F.lit(penalty)
-            part = runs.select("user_id", F.lit(level).alias("level"), F.lit(penalty).alias("penalty"), F.round(score, 9).alias("best"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    cells = F.array(*[F.struct(F.lit(x).alias("level"), F.lit(y).alias("penalty")) for x in (-0.5, 0.0, 0.7) for y in (0.0, 0.8, 3.0)])
+    swept = _profiles(spark, folder).select("user_id", "profile", F.explode(cells).alias("c")).select("user_id", "profile", "c.level", "c.penalty")
+    members = swept.select("*", once(segment_members(F.col("profile"), F.col("level"), F.col("penalty")), "m"))
+    runs = members.select("*", once(member_runs(F.col("m")), "r"))
+    total = F.aggregate(F.transform("m", lambda i: F.get("profile", i)), F.lit(0.0), lambda a, x: a + x)
+    best = total - F.size("m") * F.col("level") - (F.size("r") - 1) * F.col("penalty")
+    return runs.select("user_id", "level", "penalty", F.round(best, 9).alias("best"))
 
 
 def _grid_sql() -> str:
