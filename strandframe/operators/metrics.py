@@ -32,10 +32,10 @@ def roc_auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFram
 def average_precision(df: DataFrame, group: list[str], score: str, label: str, tie: str) -> DataFrame:
     """(group, n_pos, ap): mean over positives of the precision at their place,
     by score descending, then ``tie`` ascending (a total order).  Null without
-    positives.  A window holds one group."""
+    positives."""
     usable = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score)) & F.col(label).isNotNull())
-    w = Window.partitionBy(*group).orderBy(F.desc(score), tie)
-    placed = usable.select(*group, F.col(label).cast("int").alias("_y"), F.row_number().over(w).alias("_k"), F.sum(F.col(label).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_tp"))
+    rows = usable.select(*group, score, tie, F.col(label).cast("int").alias("_y"), F.lit(1).alias("_one"))
+    placed = running_totals(rows, group, score, {"_k": "_one", "_tp": "_y"}, descending=True, ties=[tie])
     return placed.groupBy(*group).agg(F.sum("_y").alias("n_pos"), F.avg(F.when(F.col("_y") == 1, F.col("_tp") / F.col("_k"))).alias("ap"))
 
 
@@ -125,10 +125,8 @@ def f1_threshold(df: DataFrame, utility: str, estimate: str, tie: str, n_gt: int
     The prefix sums run over ranges of the estimate; the best prefix is one
     aggregate.
     """
-    usable = df.select(utility, estimate, tie).where(F.col(estimate).isNotNull())
-    ranked = running_totals(usable.groupBy(estimate).agg(F.count("*").alias("n"), F.sum(utility).alias("u"), F.sort_array(F.collect_list(F.struct(tie, utility))).alias("rows")), [], estimate, {"upto_n": "n", "upto_u": "u"}, descending=True)
-    opened = ranked.select(estimate, (F.col("upto_n") - F.col("n")).alias("n0"), (F.col("upto_u") - F.col("u")).alias("u0"), F.posexplode(F.transform("rows", lambda x, i: F.aggregate(F.slice("rows", 1, i + 1), F.lit(0.0), lambda a, y: a + y[utility]))).alias("i", "part"))
-    prefixes = opened.select(estimate, (F.col("n0") + F.col("i") + 1).alias("k"), (F.col("u0") + F.col("part")).alias("s"))
+    usable = df.select(F.col(utility).alias("_u"), estimate, tie, F.lit(1).alias("_one")).where(F.col(estimate).isNotNull())
+    prefixes = running_totals(usable, [], estimate, {"k": "_one", "s": "_u"}, descending=True, ties=[tie])
     value = 2 * F.col("s") / (F.col("k") + F.lit(n_gt))
     best = prefixes.withColumn("f1", value).where("f1 > 0").agg(F.min(F.struct((-F.round("f1", 12)).alias("neg"), "k", estimate, "f1")).alias("b"))
     return best.where("b is not null").select(F.col(f"b.{estimate}").alias("threshold"), F.col("b.k").alias("n_emitted"), F.col("b.f1").alias("f1"))

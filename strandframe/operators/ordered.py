@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.session import cut_lineage
+
 #: Ranges of the order column that are summed side by side.
 RANGES = 128
 
@@ -21,17 +23,18 @@ def with_range(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
     return Bucketizer(splits=bounds, inputCol=order, outputCol="_range", handleInvalid="keep").transform(df)
 
 
-def running_totals(df: DataFrame, group: list[str], order: str, sums: dict[str, str], descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def running_totals(df: DataFrame, group: list[str], order: str, sums: dict[str, str], descending: bool = False, ties: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
     """``df`` with, for each new column of ``sums``, the sum of its column over the
     rows of the group that come up to the row in the order.  Rows are unique on
-    (group, order): aggregate ties before.
+    (group, order, ties): aggregate what is equal before.
 
     The order is cut into ranges; a window holds one range of one group, and the
     totals of the ranges (at most ``ranges`` of a group) are carried over.
     """
+    df = cut_lineage(df)  # read three times: for the bounds, the ranges and their totals
     ranged = with_range(df, order, ranges)
     sort = F.col(order).desc() if descending else F.col(order).asc()
-    upto = Window.partitionBy(*group, "_range").orderBy(sort).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*group, "_range").orderBy(sort, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *[F.sum(column).over(upto).alias(name) for name, column in sums.items()])
     totals = ranged.groupBy(*group, "_range").agg(*[F.sum(column).alias(f"_t_{name}") for name, column in sums.items()])
     around = Window.partitionBy(*group).orderBy(F.col("_range").desc() if descending else F.col("_range").asc()).rowsBetween(Window.unboundedPreceding, -1)

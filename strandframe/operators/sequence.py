@@ -5,22 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.operators.sweep import clean_intervals, cover_periods
 
-def count_windows(df: DataFrame, group: list[str], order: list[str], size: int = 8) -> DataFrame:
+#: Blocks of 2**32 microseconds (71 minutes) are numbered by themselves.
+BLOCK_BITS = 32
+
+
+def count_windows(df: DataFrame, group: list[str], order: list[str], size: int = 8, position: Column | None = None, bits: int = BLOCK_BITS) -> DataFrame:
     """``df`` with ``idx``: the number, from 0, of the chunk of ``size``
-    consecutive rows of the group in which a row lies; the last may be short."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("idx", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    consecutive rows of the group in which a row lies; the last may be short.
+
+    With ``position`` (a bigint that does not fall along the order, such as the
+    time in microseconds) the rows are numbered within blocks of 2**bits
+    positions and the counts of earlier blocks carried over, so that a group may
+    hold any share of the rows.
+    """
+    if position is None:
+        number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        return df.withColumn("idx", F.floor((number - 1) / size).cast("int"))
+    blocked = df.withColumn("_blk", F.shiftright(position, bits))
+    number = F.row_number().over(Window.partitionBy(*group, "_blk").orderBy(*order))
+    before = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = blocked.groupBy(*group, "_blk").agg(F.count("*").alias("_n"))
+    carry = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_blk").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    on = F.col("_blk").eqNullSafe(F.col("_b"))
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    numbered = blocked.withColumn("_k", number).join(carry, on)
+    return numbered.select(*df.columns, F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("int").alias("idx"))
 
 
 def islands(df: DataFrame, group: list[str], index: str, gap: int = 0) -> DataFrame:
     """(group, first, last, n): runs of distinct integers of which neighbours differ
-    by at most ``gap`` + 1."""
-    w = Window.partitionBy(*group).orderBy(index)
-    distinct = df.select(*group, index).where(F.col(index).isNotNull()).distinct()
-    starts = distinct.withColumn("_new", (F.col(index) - F.lag(index).over(w) > gap + 1).cast("int"))
-    runs = starts.withColumn("_run", F.sum(F.coalesce("_new", F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*group, "_run").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("n")).drop("_run")
+    by at most ``gap`` + 1.  An integer is an interval that reaches ``gap`` + 1
+    further, and the sweep line merges what touches, in blocks of integers, so a
+    group may hold any share of the rows.  Null groups and integers are left out."""
+    kind = dict(df.dtypes)[index]
+    place = F.col(index).cast("bigint")
+    spans = clean_intervals(df.select(*group, index), group, place, place + gap + 1)
+    runs = cover_periods(spans, group, count=True)
+    return runs.select(*group, F.col("from_pos").cast(kind).alias("first"), (F.col("to_pos") - gap - 1).cast(kind).alias("last"), "n")
 
 
 def transitions(df: DataFrame, group: list[str], order: list[str], label: str, add: float = 1.0) -> DataFrame:

@@ -21,11 +21,12 @@ def clean_intervals(df: DataFrame, owner: list[str], start: Column, end: Column)
     return ready.distinct()
 
 
-def cover_periods(intervals: DataFrame, owner: list[str], bits: int = BLOCK_BITS) -> DataFrame:
+def cover_periods(intervals: DataFrame, owner: list[str], bits: int = BLOCK_BITS, count: bool = False) -> DataFrame:
     """Continuous periods of each owner from distinct (owner, from_pos, to_pos).
 
     Result: owner, ``from_pos``, ``to_pos``, ``depth`` (most intervals active at
-    once) and ``prev_to`` (end of the period before, null for the first).
+    once), ``prev_to`` (end of the period before, null for the first) and, with
+    ``count``, ``n`` (intervals of the period).
     Touching intervals share a period.  An empty input gives no rows.
 
     Each interval gives +1 at its start and -1 at its end; the events are summed
@@ -37,7 +38,8 @@ def cover_periods(intervals: DataFrame, owner: list[str], bits: int = BLOCK_BITS
     """
     event = F.explode(F.array(F.struct(F.col("from_pos").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("to_pos").alias("pos"), F.lit(-1).alias("step"))))
     events = intervals.select(*owner, event.alias("e")).select(*owner, "e.pos", "e.step")
-    net = events.groupBy(*owner, "pos").agg(F.sum("step").alias("net")).where("net <> 0").withColumn("blk", F.shiftright("pos", bits))
+    net = events.groupBy(*owner, "pos").agg(F.sum("step").alias("net"), *([F.count_if(F.col("step") > 0).alias("starts")] if count else []))
+    net = (net if count else net.where("net <> 0")).withColumn("blk", F.shiftright("pos", bits))
 
     before = Window.partitionBy(*owner).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = net.groupBy(*owner, "blk").agg(F.sum("net").alias("total"), F.max("pos").alias("last_pos"))
@@ -51,6 +53,7 @@ def cover_periods(intervals: DataFrame, owner: list[str], bits: int = BLOCK_BITS
         (F.col("run") + F.coalesce("carry", F.lit(0))).alias("after"),
         (F.col("run") + F.coalesce("carry", F.lit(0)) - F.col("net") == 0).alias("opens"),
         F.coalesce("prev_pos", "carry_pos").alias("prev_pos"),
+        *(["starts"] if count else []),
     )
     numbered = active.withColumn("frag", F.sum(F.col("opens").cast("int")).over(upto))
     frags = numbered.groupBy(*owner, "blk", "frag").agg(
@@ -58,12 +61,13 @@ def cover_periods(intervals: DataFrame, owner: list[str], bits: int = BLOCK_BITS
         F.max(F.when(F.col("after") == 0, F.col("pos"))).alias("to_pos"),
         F.max("after").alias("depth"),
         F.max(F.when(F.col("opens"), F.col("prev_pos"))).alias("prev_to"),
+        *([F.sum("starts").alias("n")] if count else []),
     )
     whole = F.col("from_pos").isNotNull() & F.col("to_pos").isNotNull()
     order = Window.partitionBy(*owner).orderBy("blk", "frag").rowsBetween(Window.unboundedPreceding, 0)
     pieces = frags.where(~whole).withColumn("period", F.count("from_pos").over(order))
-    crossing = pieces.groupBy(*owner, "period").agg(F.min("from_pos").alias("from_pos"), F.max("to_pos").alias("to_pos"), F.max("depth").alias("depth"), F.max("prev_to").alias("prev_to"))
-    columns = [*owner, "from_pos", "to_pos", "depth", "prev_to"]
+    crossing = pieces.groupBy(*owner, "period").agg(F.min("from_pos").alias("from_pos"), F.max("to_pos").alias("to_pos"), F.max("depth").alias("depth"), F.max("prev_to").alias("prev_to"), *([F.sum("n").alias("n")] if count else []))
+    columns = [*owner, "from_pos", "to_pos", "depth", "prev_to", *(["n"] if count else [])]
     return frags.where(whole).select(*columns).unionByName(crossing.select(*columns))
 
 

@@ -24,7 +24,7 @@ BIAS = -1.0
 def windows(spark: SparkSession, folder: str) -> DataFrame:
     """user_id, idx, score, label, n_events, start_s, end_s of each window."""
     events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value")
-    numbered = count_windows(events, ["user_id"], ["ts", "event_id"])
+    numbered = count_windows(events, ["user_id"], ["ts", "event_id"], position=F.unix_micros(F.col("ts").cast("timestamp")))
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     return numbered.groupBy("user_id", "idx").agg(F.avg("value").alias("score"), F.max((F.col("event_type") == "error").cast("int")).alias("label"), F.count("*").alias("n_events"), F.min(seconds).alias("start_s"), F.max(seconds).alias("end_s"))
 

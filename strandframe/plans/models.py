@@ -68,7 +68,7 @@ def signed_rank(spark, folder):
 def _ratings(spark, folder):
     events = table(spark, folder, "events", "event_id", "user_id", "event_type", "value")
     order = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    placed = events.where("event_type in ('error', 'purchase')").withColumn("k", order - 1).where("k < 5")
+    placed = events.where("event_type in ('error', 'purchase')").withColumn("k", order - 1)
     g = placed.where("event_type = 'error'").select("user_id", F.col("k").alias("gt_pos"), F.col("value").alias("v"))
     p = placed.where("event_type = 'purchase'").select("user_id", F.col("k").alias("pred_pos"), F.col("value").alias("u"))
     return g.join(p, "user_id").select(F.col("user_id").alias("vid"), "gt_pos", "pred_pos", F.greatest(F.lit(0), 5 - F.floor(F.abs(F.col("v") - F.col("u")) / 4)).cast("int").alias("rating"))
@@ -93,7 +93,7 @@ def video_results(spark, folder):
 def evidence_table(spark, folder):
     """Scores less a baseline, with their robust z."""
     scores = windows(spark, folder).select(F.col("user_id").cast("string").alias("vid"), "idx", F.col("score").alias("lo_raw"))
-    baseline = scores.groupBy("vid").agg(F.min("lo_raw").alias("lo_cf")).where("vid < '5'")
+    baseline = scores.groupBy("vid").agg(F.min("lo_raw").alias("lo_cf"))
     return generic_evidence(scores, baseline).select("vid", "idx", F.round("lo_abs", 6).alias("lo_abs"), F.round("rel_z", 6).alias("rel_z"))
 
 
@@ -144,7 +144,8 @@ def resolved_events(spark, folder):
     """Events of a user from claims on its observations, the rest by words."""
     events = table(spark, folder, "events", "event_id", "user_id", "event_type", "value")
     seen = events.where("event_type in ('error', 'signup')").select(F.col("user_id").alias("vid"), F.col("event_id").alias("obs_id"), F.pmod("event_id", F.lit(9)).cast("int").alias("idx"), F.concat(F.lit("the "), "event_type", F.lit(" box")).alias("entity"), F.lit("Float").alias("kind"))
-    claims = seen.where("obs_id % 3 = 0").select("vid", (F.col("obs_id") % 2).cast("int").alias("event"), F.when(F.col("obs_id") % 7 == 0, "none").otherwise(F.col("obs_id").cast("string")).alias("obs"))
+    named = (F.col("obs_id") % 3 == 0) & (F.col("obs_id") % 7 != 0)
+    claims = seen.select("vid", (F.col("obs_id") % 2).cast("int").alias("event"), F.when(named, F.col("obs_id").cast("string")).otherwise("none").alias("obs"))
     return resolve_events(seen, claims.unionByName(claims.withColumn("event", F.col("event") + 1))).groupBy("vid", "event").agg(F.count("*").alias("n"))
 
 
@@ -188,7 +189,7 @@ _TEMPERATURE = f"""{_PROBABLE}, g as (select unnest([{GAMMAS}]) as gamma), q as
 l as (select gamma, round(avg(-(label * ln(greatest(1e-6, least(1 - 1e-6, q))) + (1 - label) * ln(1 - greatest(1e-6, least(1 - 1e-6, q))))), 6) as log_loss from q group by gamma)"""
 
 ORACLES = {
-    "evidence_table": f"""with {_WINDOWS}, b as (select cast(user_id as varchar) as vid, idx, score, case when cast(user_id as varchar) < '5' then min(score) over (partition by user_id) else 0 end as cf from w),
+    "evidence_table": f"""with {_WINDOWS}, b as (select cast(user_id as varchar) as vid, idx, score, min(score) over (partition by user_id) as cf from w),
 a as (select vid, idx, score - cf as x from b), m as (select vid, median(x) as m from a group by vid), d as (select a.vid, idx, x, x - m as d from a join m on a.vid = m.vid), s as (select vid, greatest(median(abs(d)) * 1.4826, 0.25) as s from d group by vid)
 select d.vid, idx, round(x, 6) as lo_abs, round(d / s, 6) as rel_z from d join s on d.vid = s.vid""",
     "two_stage": f"with {_PROBABLE} select user_id as vid, idx, case when row_number() over (partition by user_id order by round(score, 6) desc, idx) <= 3 then round(sqrt(p), 6) else p end as p from p",
