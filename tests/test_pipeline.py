@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from strandframe.operators.models import LinearModel
-from strandframe.plans.pipeline import FEATURES, RunConfig, best_segmentation, compare_methods, degenerate_reasons, evaluate, generic_evidence, hypothesis_rows, hypothesis_spans, method_table, rank_hypotheses, resolve_events, run, screened_probabilities, signal_summary, verified_profiles
+from strandframe.plans.pipeline import FEATURES, RunConfig, best_segmentation, calibrate, compare_methods, degenerate_reasons, evaluate, generic_evidence, hypothesis_rows, hypothesis_spans, method_table, rank_hypotheses, resolve_events, run, screened_probabilities, signal_summary, verified_profiles
 
 
 def fixture(spark):
@@ -53,3 +55,15 @@ def test_signals(spark):
     assert len(degenerate_reasons(0.4, 0.05, 0.99, 0.5)) == 3 and degenerate_reasons(0.6, 0.3, 0.5, 0.5) == []
     e = spark.createDataFrame([("v", i, float(x), 0.1, 0.9) for i, x in enumerate((1, 5, 3, 4))], "vid string, idx int, lo_raw double, p1 double, p2 double")
     assert [r["p"] for r in screened_probabilities(e, 2).orderBy("idx").collect()] == [0.1, 0.9, 0.1, 0.9]
+
+
+def test_calibration(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        good = rng.random()
+        rows.append((f"v{i}", "e", f"g{i % 6}", 1.0 + 3 * good, 1.0, good + rng.gauss(0, 0.1), good, good - 0.5, min(1.0, max(0.0, good + rng.gauss(0, 0.1)))))
+    df = spark.createDataFrame(rows, "vid string, event string, game string, support double, rank_share double, peak double, mean double, contrast double, u double")
+    out = calibrate(df, "u", "game", n_gt=100, draws=100)
+    assert out["auc"]["auc"] > 0.8 and out["reasons"] == [] and 0 < out["threshold"] < 1
+    assert set(out["model"].features) == set(FEATURES)
