@@ -15,8 +15,10 @@ from strandframe.session import cut_lineage
 WORD_CHARS = 32
 #: A phrase ends here by habit when at least this share of its occurrences ends here.
 ENDING_SHARE = 0.06
-#: Texts of up to so many words may be notes without a sentence.
+#: Texts of up to so many words may be notes without a sentence; so may longer
+#: ones that begin with a small letter.
 NOTE_WORDS = 3
+SMALL_NOTE_WORDS = 6
 #: A length is a field limit of a source when at least LIMIT_TEXTS of its
 #: unfinished texts have it and LIMIT_PEAK times as many as any of the lengths near.
 LIMIT_TEXTS = 6
@@ -27,7 +29,7 @@ NEAR = 4
 #: markup when a text breaks off.
 FINISHED = r"[.!?。！？)\]}»”:*]$|(:|;|=)-?[()DPp]$"
 ELLIPSIS = r"(\.{3,}|…)$"
-DANGLING = r"(�|,|\\(u[0-9a-fA-F]{0,3})?|\s[\[({\"']+)$"
+DANGLING = r"(�|,|\\(u[0-9a-fA-F]{0,3})?|\s[\[({\"']+|&#?[0-9A-Za-z]{0,6}|%[0-9A-Fa-f]?)$"
 STOP_AFTER = r"[.!?;…。！？][\"')\]]*$"
 
 
@@ -155,9 +157,9 @@ def cut_texts(entries: DataFrame, keep: list[str]) -> DataFrame:
     texts = texts.withColumn("open", ~F.col("plain").rlike(FINISHED) | F.col("body").rlike(DANGLING)).withColumn("broken", F.col("body").rlike(DANGLING))
     texts = cut_lineage(texts.withColumn("dots", F.col("plain") != F.col("body")))
 
-    phrases = cut_lineage(phrase_counts(texts.select("body")))
+    phrases = cut_lineage(phrase_counts(texts.select(F.col("plain").alias("body"))))
     tail = F.element_at(_windows(F.col("m")), -1)
-    tails = texts.where("open and not broken").select("body", "rows", _once(_phrases(F.col("plain")), "m")).select("body", "rows", F.size("m").alias("n_words"), tail.alias("x")).select("body", "rows", "n_words", "x.a", "x.b", "x.c")
+    tails = texts.where("open and not broken").select("body", "rows", _once(_phrases(F.col("plain")), "m")).select("body", "rows", F.size("m").alias("n_words"), tail.alias("x")).select("body", "rows", "n_words", F.col("body").rlike(r"^\p{Ll}").alias("small"), "x.a", "x.b", "x.c")
     tails = cut_lineage(tails.where("c <> ''"))
     plain_word = F.col("c").rlike(r"^\p{L}[\p{L}'’\-]*$")
     verdict = tails
@@ -165,18 +167,20 @@ def cut_texts(entries: DataFrame, keep: list[str]) -> DataFrame:
         found = tail_endings(phrases, tails, keys)
         named = found.select(*keys, *[F.col(n).alias(n + level) for n in ("n_end", "n_open", "n_on", "n_longer")], (F.col("n_end") + F.col("n_open") + F.col("n_on") + F.col("n_longer")).alias("_w"))
         verdict = salted_join(verdict, named, keys, "_w", ["body"], "left")
+    small_note = F.col("small") & (F.col("n_words") <= SMALL_NOTE_WORDS)
+    note = small_note | (F.col("n_words") <= NOTE_WORDS)
     cases = []
     for level in ("3", "2", "1"):
         ends = F.col("n_end" + level) + F.greatest(F.col("n_open" + level) - 1, F.lit(0))
         if level == "3":  # a note that many rows repeat as it is, is whole
-            ends = ends + F.when(F.col("n_words") <= NOTE_WORDS, F.col("rows") - 1).otherwise(F.lit(0))
-        goes = F.col("n_on" + level) + F.col("n_longer" + level)
+            ends = ends + F.when(note, F.col("rows") - 1).otherwise(F.lit(0))
+        # a small note goes on only where its last word does; numbers do not
+        goes = F.when(small_note, F.lit(0)).otherwise(F.col("n_on" + level)) + F.when(plain_word, F.col("n_longer" + level)).otherwise(F.lit(0))
         cases.append((ends + goes > 0, ends < ENDING_SHARE * (ends + goes)))
     # one word alone says that it is half a word, not that a sentence goes on
     half = (F.col("n_longer1") > 0) & (F.col("n_end1") + F.col("n_on1") + F.col("n_open1") <= 1)
     # of a note of a few words, only the whole note tells how it goes on
-    longer = F.col("n_words") > NOTE_WORDS
-    stops = F.when(cases[0][0], cases[0][1]).when(cases[1][0] & longer, cases[1][1]).otherwise(half & plain_word)
+    stops = F.when(cases[0][0], cases[0][1]).when(cases[1][0] & ~note, cases[1][1]).otherwise(half & plain_word)
     by_phrase = verdict.where(stops & (plain_word | cases[0][0])).select("body", F.lit(True).alias("by_phrase"))
 
     open_texts = texts.where("open").select("body", "rows", "broken", "dots").join(by_phrase, "body", "left")
