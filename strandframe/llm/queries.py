@@ -145,7 +145,7 @@ shares as (select c.rec_id, c.n_words, coalesce(v.n, 0) as n_repeated from count
 ORACLES = {
     "p3_found": r"""with recursive keyed as (
   select distinct nullif(nullif(regexp_replace(lower(game), '[^a-z0-9]', '', 'g'), ''), 'unknown') as game,
-    nullif(trim(regexp_replace(regexp_extract(trim(vid), '[^/]*$'), '\.mp4$', '', 'i')), '') as vid from records
+    nullif(regexp_replace(regexp_extract(trim(vid), '[^/]*$'), '\.mp4$', '', 'i'), '') as vid from records
 ),
 pairs as (select game, vid from keyed where game is not null and vid is not null),
 edges as (select distinct a.game as x, b.game as y from pairs a join pairs b on a.vid = b.vid and a.game <> b.game),
