@@ -10,7 +10,7 @@ def key_form(value: Column) -> Column:
     """Outer spaces trimmed, the part after the last ``/``, a final ``.mp4`` of
     any case dropped.  Null or empty gives null.  Letters keep their case."""
     last = F.substring_index(F.trim(value), "/", -1)
-    return F.nullif(F.trim(F.regexp_replace(last, r"(?i)\.mp4$", "")), F.lit(""))
+    return F.nullif(F.regexp_replace(last, r"(?i)\.mp4$", ""), F.lit(""))
 
 
 def label_form(value: Column, no_label: tuple[str, ...] = ("unknown",)) -> Column:

@@ -115,7 +115,7 @@ refs as (
   union all select 'split_ids', split_row, 'item', item, loaded_at from split_ids
   union all select 'records', rec_id, 'media', video_name, loaded_at from records
 ),
-keyed as (select tab_name, row_id, target, nullif(trim(regexp_replace(regexp_extract(trim(k), '[^/]*$'), '\.mp4$', '', 'i')), '') as k, t from refs),
+keyed as (select tab_name, row_id, target, nullif(regexp_replace(regexp_extract(trim(k), '[^/]*$'), '\.mp4$', '', 'i'), '') as k, t from refs),
 parents as (
   select 'vid' as target, vid as k, loaded_at as born, deleted_at as gone from records
   union all select 'name', video_name, loaded_at, deleted_at from records
@@ -123,7 +123,7 @@ parents as (
   union all select 'item', video_name, loaded_at, deleted_at from records
   union all select 'media', video_name, loaded_at, deleted_at from media_files
 ),
-pk as (select target, nullif(trim(regexp_replace(regexp_extract(trim(k), '[^/]*$'), '\.mp4$', '', 'i')), '') as k, born, gone from parents),
+pk as (select target, nullif(regexp_replace(regexp_extract(trim(k), '[^/]*$'), '\.mp4$', '', 'i'), '') as k, born, gone from parents),
 orphans as (
   select tab_name, row_id, t from keyed r where k is not null and not exists (
     select 1 from pk p where p.target = r.target and p.k = r.k and p.born <= r.t and (p.gone is null or p.gone > r.t))

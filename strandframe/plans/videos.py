@@ -27,7 +27,7 @@ def _record_spans(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("rec_id", "vid", "video_name", "duration", once(union_spans(_all_spans()), "spans"))
 
 
-_KEY = r"nullif(trim(regexp_replace(regexp_extract(trim({0}), '[^/]*$'), '\.mp4$', '', 'i')), '')"
+_KEY = r"nullif(regexp_replace(regexp_extract(trim({0}), '[^/]*$'), '\.mp4$', '', 'i'), '')"
 _RECORD_SPANS = """
 raw as (select rec_id, least(s.start_s, s.end_s) as a, greatest(s.start_s, s.end_s) as b, s.start_s is not null and s.end_s is not null as ok
   from (select rec_id, unnest(flatten(list_filter(time_nodes, lambda x: x is not null))) as s from records)),
