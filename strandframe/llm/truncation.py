@@ -20,9 +20,11 @@ ENDING_SHARE = 0.06
 NOTE_WORDS = 3
 SMALL_NOTE_WORDS = 6
 #: A length is a field limit of a source when at least LIMIT_TEXTS of its
-#: unfinished texts have it and LIMIT_PEAK times as many as any of the lengths near.
+#: unfinished texts, and LIMIT_SHARE of them, have it, and LIMIT_PEAK times as many
+#: as any of the lengths near.
 LIMIT_TEXTS = 6
 LIMIT_PEAK = 5
+LIMIT_SHARE = 0.01
 NEAR = 4
 
 #: How a text looks whose author finished it, and what is left of
@@ -126,7 +128,8 @@ def field_limits(shapes: DataFrame) -> DataFrame:
     sizes = both.groupBy("source", "m.unit", "m.size").agg(F.sum("n").alias("n"))
     near = sizes.select("source", "unit", F.explode(F.array([F.col("size") + d for d in range(-NEAR, NEAR + 1) if d])).alias("size"), "n")
     top = near.groupBy("source", "unit", "size").agg(F.max("n").alias("n_near"))
-    limits = sizes.join(top, ["source", "unit", "size"], "left").where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_PEAK * F.coalesce("n_near", F.lit(0)))).select("source", "unit", "size")
+    whole = shapes.groupBy("source").agg(F.sum("n").alias("n_source"))
+    limits = sizes.join(top, ["source", "unit", "size"], "left").join(whole, "source").where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("n_source")) & (F.col("n") >= LIMIT_PEAK * F.coalesce("n_near", F.lit(0)))).select("source", "unit", "size")
     by_chars = limits.where("unit = 'chars'").select("source", F.col("size").alias("chars"), F.lit(1).alias("c"))
     by_bytes = limits.where("unit = 'bytes'").select("source", F.col("size").alias("bytes"), F.lit(1).alias("b"))
     return shapes.join(by_chars, ["source", "chars"], "left").join(by_bytes, ["source", "bytes"], "left").where("c = 1 or b = 1").select("source", "chars", "bytes", "rows")
