@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,13 +26,6 @@ GRADES = 4
 #: Cut between grades 0 and 1: a sentence without known features has a score of
 #: 0 and thus a chance of 1 in 21 of being abuse.
 FIRST_CUT = 3.0
-#: Distinct sentences of the corpus that the fit takes as harmless background,
-#: first in the order of a hash.  Those that a first fit grades 1 or more are
-#: left out of the second.
-BACKGROUND = 6000
-BACKGROUND_CHARS = 500
-#: Weight of a background sentence beside a labelled one.
-BACKGROUND_WEIGHT = 0.25
 #: Comma clauses that are read together.
 WINDOW = 4
 
@@ -210,27 +203,12 @@ def fit_ordinal(rows: list[tuple[set[str], int]], weights: list[float] | None =
     return OrdinalModel({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-6}, tuple(float(c) for c in cuts))
 
 
-def train_model(background: list[str]) -> OrdinalModel:
+def train_model(harmless: Iterable[str] = ()) -> OrdinalModel:
     """The model of the labelled sentences (bounded by their number times FILLS)
-    and of background sentences taken as harmless."""
-    labelled = [(features_of(words_of(s)), g) for s, g in labelled_rows()]
-    rows = [features_of(words_of(s)) for s in background]
-    for _ in range(2):
-        weights = [1.0] * len(labelled) + [BACKGROUND_WEIGHT] * len(rows)
-        model = fit_ordinal(labelled + [(found, 0) for found in rows], weights)
-        rows = [found for found in rows if model.expected(found) < 1.0]
-    return model
-
-
-def background_sentences(documents: DataFrame, text_column: str = "text", bound: int = BACKGROUND) -> list[str]:
-    """At most ``bound`` sentences of up to BACKGROUND_CHARS characters: one of each
-    document, chosen by a hash of its text, and of those the first in the order of
-    the hash.  The fit alone uses this sample; every document is scored."""
-    mark = F.xxhash64(text_column)
-    parts = F.split(text_column, r"[\n\r.!?。！？]+")
-    one = documents.where(F.col(text_column).isNotNull()).select(F.trim(F.get(parts, F.pmod(mark, F.size(parts)).cast("int"))).alias("t"), mark.alias("h"))
-    first = one.where(F.length("t").between(1, BACKGROUND_CHARS)).orderBy("h", "t").limit(bound)
-    return sorted({row["t"] for row in first.collect()})
+    and of ``harmless``, further sentences labelled 0.  No text without a label
+    takes part, so what a corpus repeats cannot make itself harmless."""
+    rows = labelled_rows() + [(s, 0) for s in harmless]
+    return fit_ordinal([(features_of(words_of(s)), g) for s, g in rows])
 
 
 def sentences_of(text: str) -> list[str]:
@@ -252,7 +230,7 @@ def score_documents(documents: DataFrame, keep: list[str], text_column: str = "t
     """The columns ``keep`` and ``severity`` (double): the highest expected grade
     of the sentences of a text, read whole.  Null, empty and blank texts get 0.
     The model is a few thousand weights, sent with the task."""
-    chosen = model or train_model(background_sentences(documents, text_column))
+    chosen = model or train_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         severity = lru_cache(maxsize=1 << 16)(chosen.severity)

@@ -73,4 +73,64 @@ HARMLESS = [
     "o goleiro perde a textura", "você está no túnel", "a noite inteira chove", "всадник застревает в стене", "красная машина теряет текстуру", "эти двери не открываются", "ты у ворот",
     "木箱が壁に埋まる", "主人公が数秒間消える", "橋の上の兵士が空中に浮いている", "敵が死ぬアニメーションが表示されない", "お前の車が動かない", "本当に地面をすり抜ける",
     "mark the span when the guard floats", "enemies die before they spawn", "my dumb mistake , the flag was set wrong", "the process was killed", "start again and kill it", "ignores all collisions", "the sex field of the character sheet resets to unset", "the naked mannequin has no texture", "he dies first in the cutscene", "the rat king ignores all collisions", "and everyone on this server sees it", "all of you can test it", "my family likes this game", "you should never be able to pass the wall", "same here", "clip it", "wait what", "nooo", "lol", "gg", "again ? ?", "steps :", "fixed :", "expected : the physics settle once the view moves away", "good bones", "refund", "hm",
+    "at low settings , the lamp hovers a metre above the pavement", "after the second checkpoint , the truck slides sideways and never comes to rest",
+    "as soon as the menu opens , the music stops and does not come back", "in the first minute , a wooden cart drops through the floor and is gone",
+    "when you reload , the helmet turns white and stays white until the next level", "while it rains , a small boat sails up the hill as if it were water",
+    "right before the credits , two tables swap their textures", "once the timer runs out , the gate closes , opens again and then blocks the path",
+    "to the left of the tower , a ladder hangs in the air", "with shadows turned off , the tree near the well shakes from side to side",
+    "behind the counter , the cook stretches to twice his height", "from a distance , the roof looks fine , but up close it is see-through",
+    "on the way back , the horse runs in place for a while", "for a few seconds , the sky is black , then it returns to normal", "out of nowhere , a barrel appears and rolls out",
+    "during the race , the driver falls out of his seat and the car goes on without him", "as the lift goes down , the crew stays up in the air",
+    "in photo mode , her hair cuts through the collar of her coat", "until the map is reloaded , his arm points at the sky", "in co-op , only the host can pick up the key",
+    "a red crate jumps when you touch it", "a man in a blue coat walks into a lamp post again and again", "a bird is stuck in mid air over the lake",
+    "an arrow flies through a closed door and hits nothing", "one of the guards slides along the floor without moving his legs", "some of the grass grows through the carpet",
+    "the bench sinks into the sand as soon as somebody sits on it", "the statue spins as if it had no weight", "the torch burns under water and never goes out",
+    "her shadow lags behind her by a second", "his hand goes through the rope that he holds", "its wheels turn the wrong way", "nothing happens when i press the button",
+    "it works on my machine , so i could not see it myself", "i saw it three times in a row , always at the same spot", "i was standing by the fire and then i fell out of the world",
+    "i will send the save file to you tonight", "you can walk up the wall if you jump twice", "you fall through the stairs , so take the lift",
+    "you have to leave the room and come back to see it", "if you look up , you see that the ceiling is missing", "we could reproduce it on two of five consoles",
+    "they all look in one direction and do not react", "there is a hole in the ground next to the church", "there are two of the same clerk in one shop", "this is the only way to get there",
+    "this happens every time , no matter what you do", "that was fixed in the last patch , wasn't it", "it looks like a physics problem , not like an animation problem",
+    "no , the clip shows it from start to end", "yes , it is the same bug as in the other thread", "not a bug , works as designed", "so far i have only seen it in the desert",
+    "and then the game simply goes on", "the answer is no : the scene shows nothing unusual", "the model should say what it sees , not what it expects",
+    "give the start and the end of each span in seconds", "write one sentence for each bug , in plain words", "do not mark camera cuts , loading screens or intended effects",
+    "if you are not sure , leave the span open and add a comment", "please add a clip , the version and your hardware", "thank you for the report , we will look into it",
+    "thanks , that helped a lot", "hi all , is anybody else seeing this on the new build", "has anyone found a way around it", "does it still happen after you delete the cache",
+    "how do i get past the bridge when the boat is gone", "where do i find the second key", "why is the lake empty", "what is the name of the song in the menu",
+    "who is the woman at the window", "ok , will try that later", "brb , dinner", "got it , thank you", "see you tomorrow at the same time", "good game , well played , everybody",
+    "team , we meet at the gate in five minutes", "my friend and i played it all weekend", "my phone shows it too", "my character is too small for the chair",
+    "your character turns to face the wall", "your post was moved to the right section", "your team has one free slot", "fixed a case in which the player could not leave the boat",
+    "improved the way shadows are drawn on water", "lowered the damage of the bow and raised its range", "added a new option to turn off the shaking of the camera",
+    "removed a wall that nobody could see", "changed the price of the house from ten to twelve coins", "known problem : sound may stop on some headsets",
+    "the story is short , but i liked every part of it", "the graphics are great , the controls are not", "not worth the price , wait for a sale", "bad port , poor sound , too many crashes",
+    "best game of the year for me", "the worst update so far , everything is slower now", "i hate this level , it takes far too long", "i love how the water looks in the morning",
+    "they ruined the best map of the game", "the new engine is a mess", "the user was asked to keep to the topic", "a post was hidden because of spam",
+    "the thread was closed after the answer", "two accounts were merged", "the report was sent to the wrong team", "the village lies in the north and has a market , a mill and a church",
+    "the sword can be bought from the smith for forty coins", "the family of the mayor lives by the river", "in the third act , the queen leaves the city with her people",
+    "the enemy attacks from above , so keep your shield up", "kill the three wolves and bring back their skins", "hit the head of the giant , then run", "shoot the barrels to clear the way",
+    "he was shot in the last scene , yet he stands there again", "the body of the guard slides down the hill", "the dead soldier gets up and walks away", "blood stays on the wall for ever",
+    "the bomb does not go off", "the bar has no stools", "the couple on the bench has no faces", "beim laden fällt die kiste durch die brücke , danach ist sie weg",
+    "ich habe es auf zwei rechnern gesehen , immer an derselben stelle", "die kamera dreht sich , bis man das menü öffnet", "das schild bleibt in der luft hängen , wenn es regnet",
+    "du kannst durch die wand gehen , wenn du springst", "ein reiter verliert sein pferd und läuft weiter", "après la cinématique , la porte reste fermée",
+    "le cheval tourne sur place , puis il disparaît", "la voiture rouge passe à travers le mur de la gare", "j'ai vu ce bug deux fois , toujours au même endroit",
+    "tu peux sauter par-dessus le mur , c'est un bug", "il manque une texture sur le toit", "cuando llueve , la linterna flota sobre el suelo",
+    "el coche rojo atraviesa la pared y se cae del mapa", "eres el primero en llegar , pero la puerta no se abre", "lo he visto dos veces , siempre en el mismo sitio",
+    "la sombra no sigue al jugador", "un barril gira sin parar junto a la casa", "depois da chuva , o barco fica preso no ar", "o carro atravessa a parede e some",
+    "a câmera gira até abrir o menu", "vi isso duas vezes , sempre no mesmo lugar", "você pode passar pela porta se pular", "um soldado fica parado no meio da rua",
+    "после загрузки ящик падает сквозь пол", "камера вращается , пока не откроешь меню", "я видел это два раза , всегда в одном месте", "ты можешь пройти через стену , если прыгнуть",
+    "солдат стоит на месте и не двигается", "когда идёт дождь , лодка висит в воздухе", "雨の日に、船が空を飛ぶ", "扉が開かない、もう一度試してください", "車が地面に沈む、その後消える", "この場面では影が表示されない", "カメラが回り続ける", "外の門の前で馬が止まる",
+    "敵を倒しても何も起きない", "the light goes out", "after a while , the lamp on the desk goes out", "the fire burns out too fast , the candle does not", "he runs out and she runs in",
+    "the sound cuts out", "the fuel runs out , yet the engine runs", "the blind moves up and down on its own", "with the sound off , the clip is harder to judge",
+    "with vsync on , the flag stops , with vsync off , it shakes", "the boat goes down and comes up on the other side", "a door opens and shuts , opens and shuts",
+    "his cap drops down to his knees", "the fan turns on and off", "with the headset on , the floor is too low", "the wheel comes off , and the bus drives on", "a free update is out now",
+    "feel free to add a clip", "the trial is free for a week , then it stops", "in the free mode , the clock stands still", "the seat is free , but nobody sits down",
+    "the whole video is out of sync", "in this video , the sound comes too late", "see the full video for the second case", "a video of it is on the wiki",
+    "about ten frames later , it is back", "at about one minute , look at the window on the right", "with a friend in the group , the quest does not start",
+    "the man with the red hat and the dog with the bone change places", "the box with the tools floats , and the shelf with the books sinks", "all of it is gone after a restart",
+    "all doors are open , all lights are on", "first the left one , then the right one , then both", "slowly , the picture turns grey", "sometimes the lift stops , sometimes it does not",
+    "here and there , a stone is missing", "in short , the jump is too high", "without a pad , the menu is not usable", "the loading bar stops at ninety and then starts over",
+    "during the loading of the map , the screen turns green", "on the first try , in the first room",
+    "the boat rocks up and down", "an empty chair slides up and down the wall", "with the grain filter off , it is easier to see", "with the lights off , a small dog hops up and down",
+    "free roam is broken", "in free roam , the police never show up", "during free play , on the last day", "once the candle burns out , the room stays bright", "after the match burns out , her hand still glows",
+    "when the lamp burns out , a tall man and a child swap heads", "without sound , for about a minute , a grey cat walks on two legs", "kill the task and restart", "kill the process and try again",
 ]

@@ -47,3 +47,12 @@ def test_documents(spark, model):
     rates = {r["source"]: r["review_rate"] for r in review_rates(score_documents(df, ["doc_id", "source"], model=model)).collect()}
     assert rates == {"bug_forum": 0.5, None: 0.0, "x": 1 / 3}
     assert score_documents(df.limit(0), ["doc_id"]).collect() == []
+
+
+def test_frequent_wording_stays_abuse(spark):
+    """What a hot source repeats has the score it has alone."""
+    schema, text = "doc_id int, text string, source string", "you gronk, nobody asked you"
+    alone = score_documents(spark.createDataFrame([(0, text, "x")], schema), ["doc_id"]).collect()[0]["severity"]
+    rows = [(0, text, "x")] + [(i, f"{text} number {i}", "hot") for i in range(1, 400)] + [(i, text, "hot") for i in range(400, 800)]
+    scores = {r["doc_id"]: r["severity"] for r in score_documents(spark.createDataFrame(rows, schema), ["doc_id"]).collect()}
+    assert scores[0] == alone >= REVIEW and all(scores[i] == alone for i in range(400, 800))
