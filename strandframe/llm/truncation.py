@@ -156,13 +156,14 @@ def cut_texts(entries: DataFrame, keep: list[str]) -> DataFrame:
     """
     body = F.rtrim(F.regexp_replace("text", r"[\s ]+$", ""))
     ready = entries.select(*keep, "source", "owner", body.alias("body"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).where(F.length("body") > 0)
-    texts = ready.groupBy("body").agg(F.count("*").alias("rows")).select("body", "rows", F.regexp_replace("body", ELLIPSIS, "").alias("plain"))
+    # copies of one owner, and all of unknown owners, speak once
+    texts = ready.groupBy("body").agg(F.count("*").alias("rows"), F.count_distinct(F.coalesce("owner", F.lit(""))).alias("owners")).select("body", "rows", "owners", F.regexp_replace("body", ELLIPSIS, "").alias("plain"))
     texts = texts.withColumn("open", ~F.col("plain").rlike(FINISHED) | F.col("body").rlike(DANGLING)).withColumn("broken", F.col("body").rlike(DANGLING))
     texts = cut_lineage(texts.withColumn("dots", F.col("plain") != F.col("body")))
 
     phrases = cut_lineage(phrase_counts(texts.select(F.col("plain").alias("body"))))
     tail = F.element_at(_windows(F.col("m")), -1)
-    tails = texts.where("open and not broken").select("body", "rows", _once(_phrases(F.col("plain")), "m")).select("body", "rows", F.size("m").alias("n_words"), tail.alias("x")).select("body", "rows", "n_words", F.col("body").rlike(r"^\p{Ll}").alias("small"), "x.a", "x.b", "x.c")
+    tails = texts.where("open and not broken").select("body", "owners", _once(_phrases(F.col("plain")), "m")).select("body", "owners", F.size("m").alias("n_words"), tail.alias("x")).select("body", "owners", "n_words", F.col("body").rlike(r"^\p{Ll}").alias("small"), "x.a", "x.b", "x.c")
     tails = cut_lineage(tails.where("c <> ''"))
     plain_word = F.col("c").rlike(r"^\p{L}[\p{L}'’\-]*$")
     verdict = tails
@@ -172,11 +173,13 @@ def cut_texts(entries: DataFrame, keep: list[str]) -> DataFrame:
         verdict = salted_join(verdict, named, keys, "_w", ["body"], "left")
     small_note = F.col("small") & (F.col("n_words") <= SMALL_NOTE_WORDS)
     note = small_note | (F.col("n_words") <= NOTE_WORDS)
+    # hardly ever a word of its own, but the start of longer ones
+    half_word = plain_word & (F.col("n_longer1") > 0) & (F.col("n_end1") + F.col("n_on1") < ENDING_SHARE * F.col("n_longer1")) & (F.col("n_open1") <= F.col("n_longer1"))
     cases = []
     for level in ("3", "2", "1"):
         ends = F.col("n_end" + level) + F.greatest(F.col("n_open" + level) - 1, F.lit(0))
-        if level == "3":  # a note that many rows repeat as it is, is whole
-            ends = ends + F.when(note, F.col("rows") - 1).otherwise(F.lit(0))
+        if level == "3":  # a note that many owners write as it is, is whole, unless longer copies show half a word
+            ends = ends + F.when(note & ~(half_word & (F.col("n_longer3") > 0)), F.col("owners") - 1).otherwise(F.lit(0))
         # a small note goes on only where its last word does; numbers do not
         goes = F.when(small_note, F.lit(0)).otherwise(F.col("n_on" + level)) + F.when(plain_word, F.col("n_longer" + level)).otherwise(F.lit(0))
         cases.append((ends + goes > 0, ends < ENDING_SHARE * (ends + goes)))

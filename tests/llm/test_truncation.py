@@ -34,6 +34,18 @@ def test_cut_texts(spark):
     assert got[(1003, 1)] == "broken" and got[(3000, 0)] == "copy" and got[(1001, 1)] == "phrase"
 
 
+def test_repeated_notes(spark):
+    """Redelivered copies of a cut note do not make it whole; a note that many owners write is whole."""
+    rng = random.Random(4)
+    rows = corpus(rng) + [(600 + i, 0, f"The {NOUNS[i % 8]} {ENDS[i % 5]} in round {i}. Odd lamp {('flickers', 'gone')[i % 2]} {('twice', 'mad')[i // 2 % 2]} again.", "a", f"w{i}", "x") for i in range(80)]
+    one_owner = [(7000 + i, 0, "Odd lamp flick", "a", "q", "x") for i in range(20)]
+    many_owners = [(7100 + i, 0, "Odd lamp flicke", "a", f"q{i}", "x") for i in range(20)]
+    whole = [(7300 + i, 0, "Odd lamp gone", "a", f"q{i}", "x") for i in range(20)]
+    got = found(spark, rows + one_owner + many_owners + whole)
+    assert {(r[0], 0) for r in one_owner + many_owners} <= set(got)
+    assert not {(r[0], 0) for r in whole} & set(got)
+
+
 def test_field_limit(spark):
     rng = random.Random(2)
     rows = corpus(rng)
