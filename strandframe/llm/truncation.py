@@ -183,10 +183,9 @@ def cut_texts(entries: DataFrame, keep: list[str]) -> DataFrame:
         # a small note goes on only where its last word does; numbers do not
         goes = F.when(small_note, F.lit(0)).otherwise(F.col("n_on" + level)) + F.when(plain_word, F.col("n_longer" + level)).otherwise(F.lit(0))
         cases.append((ends + goes > 0, ends < ENDING_SHARE * (ends + goes)))
-    # one word alone says that it is half a word, not that a sentence goes on
-    half = (F.col("n_longer1") > 0) & (F.col("n_end1") + F.col("n_on1") + F.col("n_open1") <= 1)
-    # of a note of a few words, only the whole note tells how it goes on
-    stops = F.when(cases[0][0], cases[0][1]).when(cases[1][0] & ~note, cases[1][1]).otherwise(half & plain_word)
+    # of a note of a few words, only the whole note tells how it goes on; one
+    # word alone says that it is half a word, not that a sentence goes on
+    stops = F.when(cases[0][0], cases[0][1]).when(cases[1][0] & ~note, cases[1][1]).otherwise(half_word)
     by_phrase = verdict.where(stops & (plain_word | cases[0][0])).select("body", F.lit(True).alias("by_phrase"))
 
     open_texts = texts.where("open").select("body", "rows", "broken", "dots").join(by_phrase, "body", "left")

@@ -46,6 +46,13 @@ def test_repeated_notes(spark):
     assert not {(r[0], 0) for r in whole} & set(got)
 
 
+def test_same_half_word(spark):
+    """Texts cut in the same half word do not make it a word."""
+    rows = corpus(random.Random(5))
+    cut = [(8000 + i, 0, f"{start} flick", "a", f"q{i}", "x") for i, start in enumerate(("Some odd vase stands and then a distant roof did", "Nobody saw how much grey paint would", "Shortly before noon my left boot"))]
+    assert {(r[0], 0) for r in cut} <= set(found(spark, rows + cut))
+
+
 def test_field_limit(spark):
     rng = random.Random(2)
     rows = corpus(rng)
