@@ -223,7 +223,8 @@ def clauses_of(sentence: str) -> list[str]:
     parts = [p for p in re.split(r"[,，、]\s*", sentence) if p.strip()]
     if len(parts) < 2:
         return [sentence]
-    return [", ".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, min(i + WINDOW, len(parts)) + 1)]
+    runs = [", ".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, min(i + WINDOW, len(parts)) + 1)]
+    return runs if len(parts) <= WINDOW else [*runs, ", ".join(parts)]
 
 
 def score_documents(documents: DataFrame, keep: list[str], text_column: str = "text", model: OrdinalModel | None = None) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from strandframe.llm.abuse import REVIEW, features_of, fit_ordinal, labelled_rows, plain_word, review_rates, score_documents, sentences_of, train_model, words_of
+from strandframe.llm.abuse import REVIEW, clauses_of, features_of, fit_ordinal, labelled_rows, plain_word, review_rates, score_documents, sentences_of, train_model, words_of
 
 BACKGROUND = [f"{a} {b} {c}" for a in ("The car", "A red bridge", "In this clip, the guard", "Early in the video, a lantern") for b in ("floats above the ground", "clips into the wall", "spins in place", "walks on thin air") for c in ("near the north gate", "when it rains", "during the boss intro", "and then keeps firing", "while the menu is open")]
 
@@ -56,3 +56,9 @@ def test_frequent_wording_stays_abuse(spark):
     rows = [(0, text, "x")] + [(i, f"{text} number {i}", "hot") for i in range(1, 400)] + [(i, text, "hot") for i in range(400, 800)]
     scores = {r["doc_id"]: r["severity"] for r in score_documents(spark.createDataFrame(rows, schema), ["doc_id"]).collect()}
     assert scores[0] == alone >= REVIEW and all(scores[i] == alone for i in range(400, 800))
+
+
+def test_long_sentences_are_read_whole():
+    sentence = "a, b, c, d, e, f"
+    assert sentence in clauses_of(sentence) and "b, c, d, e" in clauses_of(sentence) and "b, c, d, e, f" not in clauses_of(sentence)
+    assert clauses_of("a") == ["a"] and sorted(clauses_of("a, b")) == ["a", "a, b", "b"]
