@@ -6,26 +6,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: So many of the heaviest keys are salted; their list is broadcast (bounded by
-#: this number of rows whatever the input).  Any key outside it holds at most
+#: Rows of one key that one task joins; a heavier key is cut into as many parts
+#: as it needs for that.
+PART_ROWS = 1 << 20
+#: At most so many keys are cut, the heaviest first; their list, which is
+#: broadcast, is no longer whatever the input.  Any other key holds less than
 #: 1/HOT_KEYS of the rows.
-HOT_KEYS = 256
-#: Parts into which the rows of a heavy key are split.
-SALTS = 64
+HOT_KEYS = 1 << 16
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, spread: list[str], how: str = "inner", hot_keys: int = HOT_KEYS, salts: int = SALTS) -> DataFrame:
-    """Equi-join of ``left`` with ``right``, which is unique on ``on``.
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, spread: list[str], how: str = "inner", part_rows: int = PART_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Equi-join of ``left`` with ``right``, which is unique on ``on`` and is best
+    materialised: it is read once for its heavy keys and once for the join.
 
     ``weight`` is a column of ``right``: how many rows of ``left`` have the key,
-    as known from an earlier aggregate.  The rows of the ``hot_keys`` heaviest
-    keys are spread over ``salts`` parts by a hash of the columns ``spread``;
-    ``right`` repeats those few rows once per part.  All other rows keep part 0.
-    Nulls in ``on`` match nothing, as in SQL.  ``weight`` is not in the result.
+    as known from an earlier aggregate.  The rows of a key with more than
+    ``part_rows`` are spread by a hash of the columns ``spread`` over
+    weight / part_rows parts, and ``right`` repeats the key's row once per part.
+    Without such keys it is a plain join.  Nulls in ``on`` match nothing, as in
+    SQL.  ``weight`` is not in the result.
     """
-    hot = right.select(*on, weight).where(F.col(weight) > 1000).orderBy(F.desc(weight), *on).limit(hot_keys).select(*on, F.lit(True).alias("_hot"))
-    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    salted = left.join(F.broadcast(hot), on, "left").withColumn("_part", part).drop("_hot")
-    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(parts)).drop("_hot", weight)
+    heavy = right.where(F.col(weight) > part_rows).orderBy(F.desc(weight), *on).limit(hot_keys).select(*on, F.ceil(F.col(weight) / part_rows).cast("int").alias("_parts"))
+    rows = heavy.collect()
+    if not rows:
+        return left.join(right.drop(weight), on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, heavy.schema))
+    part = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(*spread), F.col("_parts").cast("bigint")).cast("int")).otherwise(F.lit(0))
+    salted = left.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    repeated = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts", weight)
     return salted.join(repeated, [*on, "_part"], how).drop("_part")

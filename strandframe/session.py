@@ -41,8 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def clean_checkpoints(spark: SparkSession) -> None:
+    """Have the files of a checkpoint deleted when nothing refers to it any more,
+    unless the session says otherwise."""
+    spark.sparkContext._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that it is neither
-    computed twice nor lost with an executor."""
+    computed twice nor lost with an executor; the copy goes when ``df`` does."""
     ensure_checkpoint_dir(df.sparkSession)
+    clean_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)

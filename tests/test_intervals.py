@@ -95,6 +95,6 @@ def test_running_sum(spark, levels):
 def test_salted_join_equals_join(spark):
     left = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
     right = left.groupBy("k").agg(F.count("*").alias("n")).where("k is null or k <> 'k7'").withColumn("v", F.upper("k"))
-    for how in ("inner", "left"):
-        got = {tuple(r) for r in salted_join(left, right, ["k"], "n", ["id"], how).select("k", "id", "v").collect()}
+    for how, part_rows in (("inner", 100), ("left", 100), ("left", 1 << 20)):
+        got = {tuple(r) for r in salted_join(left, right, ["k"], "n", ["id"], how, part_rows=part_rows).select("k", "id", "v").collect()}
         assert got == {tuple(r) for r in left.join(right, "k", how).select("k", "id", "v").collect()}
