@@ -1,6 +1,9 @@
 import random
+import re
 
-from strandframe.llm.truncation import cut_report, cut_texts, next_longer
+import pytest
+
+from strandframe.llm.truncation import cut_report, cut_texts, longer_copies, tail_endings, word_counts
 
 SCHEMA = "rec_id int, bug_pos int, text string, source string, owner string, reason string"
 NOUNS = "car bridge lantern horse turret barrel wagon guard".split()
@@ -65,10 +68,65 @@ def test_field_limit(spark):
     assert report["form"]["n_entries"] == 200 and report["form"]["n_cut"] == len(open_ones) and report[None]["n_cut"] == 0
 
 
-def test_next_longer_and_nothing(spark):
-    rng = random.Random(3)
-    texts = {(s, "".join(rng.choices("ab", k=rng.randint(1, 6)))) for s in ("p", "q") for _ in range(60)}
-    got = {(r["s"], r["t"]) for r in next_longer(spark.createDataFrame(sorted(texts), "s string, t string").repartition(7), "s", "t").collect()}
-    assert got == {(s, t) for s, t in texts if any(r == s and u != t and u.startswith(t) for r, u in texts)}
+def goes(body, rest):
+    return bool(re.match(r"[^\W_]", rest)) and body[-1].isalpha(), bool(re.match(r"\s*(?:[^\W_])", rest)) and rest.strip()[0].islower()
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_all_longer_copies_count(spark, parts):
+    """Every longer copy tells how a text goes on, whatever partition holds it."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        for seed in range(3):
+            rng = random.Random(seed)
+            texts = {(s, "".join(rng.choices("aB .", k=rng.randint(1, 7))).strip()) for s in ("p", "q") for _ in range(90)}
+            texts = sorted((s, t, 1) for s, t in texts if t)
+            want = {}
+            for s, t, _ in texts:
+                ways = [goes(t, u[len(t) :]) for r, u, _ in texts if r == s and u != t and u.startswith(t)]
+                if any(map(any, ways)):
+                    want[s, t] = (any(w[0] for w in ways), any(w[1] for w in ways))
+            got = longer_copies(spark.createDataFrame(texts, "s string, t string, n bigint").repartition(7), "s", "t", "n").collect()
+            assert {(r["s"], r["t"]): (r["mid_word"], r["within"]) for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_nearer_copy_hides_no_other(spark):
+    rows = corpus(random.Random(6), 300) + [(9000 + i, 0, t, None, None, "x") for i, t in enumerate(("Odd ca", "Odd ca is.", "Odd cart."))]
+    got = found(spark, rows)
+    assert got[9000, 0] == "copy" and (9001, 0) not in got and (9002, 0) not in got
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_tail_endings(spark, parts):
+    """Uses of a word and of its longer copies in each context, by brute force; a word may have any length."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(parts)
+        words = ["a", "ab", "abc", "abd", "b", "z" * 60, "z" * 61, "𝒶b"]
+        bodies = [" ".join(rng.choices(words, k=rng.randint(1, 5))) + rng.choice([".", "", "; a b"]) for _ in range(150)]
+        counts = word_counts(spark.createDataFrame([(t,) for t in bodies], "body string"))
+        rows = counts.collect()
+        tails = [(*rng.choices([*words, "^"], k=2), rng.choice([*words, "zzz", "q"])) for _ in range(40)]
+        tails = sorted({(*t, 1) for t in tails})
+        got = {(r["a"], r["b"], r["c"]): r for r in tail_endings(counts, spark.createDataFrame(tails, "a string, b string, c string, n_texts bigint")).collect()}
+        assert len(got) == len(tails)
+        for a, b, c, _ in tails:
+            for level, context in ((3, f"{a} {b}"), (2, b), (1, "")):
+                same = [r for r in rows if (r["level"], r["context"]) == (level, context)]
+                own = [(r["n_end"], r["n_open"], r["n_on"]) for r in same if r["word"] == c] or [(0, 0, 0)]
+                longer = sum(r["n_end"] + r["n_open"] + r["n_on"] for r in same if r["word"] != c and r["word"].startswith(c))
+                row = got[a, b, c]
+                assert [(*own[0], longer)] == [(row[f"n_end{level}"], row[f"n_open{level}"], row[f"n_on{level}"], row[f"n_longer{level}"])]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_nothing(spark):
     assert found(spark, []) == {}
     assert found(spark, [(1, 0, None, None, None, "x")]) == {}
