@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.intervals import SPANS, clip_spans, covered_label, overlap_lengths, shrink_guarded, temporal_iou, union_as_written, union_spans, whole_seconds
 from strandframe.operators.scan import running_sum
-from strandframe.operators.skew import salted_join
+from strandframe.operators.skew import follow_join, salted_join
 from strandframe.operators.sweep import clean_intervals, cover_periods, overlaps_and_gaps
 
 OWNER = ["owner"]
@@ -98,3 +98,4 @@ def test_salted_join_equals_join(spark):
     for how, part_rows in (("inner", 100), ("left", 100), ("left", 1 << 20)):
         got = {tuple(r) for r in salted_join(left, right, ["k"], "n", ["id"], how, part_rows=part_rows).select("k", "id", "v").collect()}
         assert got == {tuple(r) for r in left.join(right, "k", how).select("k", "id", "v").collect()}
+        assert got == {tuple(r) for r in follow_join(left, right, ["k"], ["id"], how, part_rows=part_rows).select("k", "id", "v").collect()}
