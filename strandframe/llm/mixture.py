@@ -14,10 +14,10 @@ from strandframe.llm.tokenization import count_tokens
 from strandframe.operators.scan import running_sum
 from strandframe.session import cut_lineage
 
-#: Tokens of one block of the schedule.
+#: Most tokens of one block of the schedule.
 BLOCK_TOKENS = 4096
-#: The schedule, which the driver makes and broadcasts, has at most so many
-#: slots; beyond that the blocks become longer, not the schedule.
+#: One period of the schedule, which the driver makes and broadcasts, has at most
+#: so many slots; a larger corpus repeats the period, its blocks stay as long.
 MAX_SLOTS = 1 << 18
 #: 2**HASH_BITS parts of the hash order of the documents are summed side by side.
 HASH_BITS = 20
@@ -69,7 +69,8 @@ def choose_documents(documents: DataFrame, goals: DataFrame, rank_file: str | No
     """How often each document is used.
 
     ``documents``: doc_id, text, source; ``goals``: source, goal_share,
-    max_repeats (a small fixed table, read to the driver).  Result: doc_id,
+    max_repeats (a small fixed table, read to the driver; of several rows of a
+    source that of the largest share counts).  Result: doc_id,
     source, n_tokens, before (tokens of the source before the document, in the
     order of a hash of doc_id), copies; the plans; the tokens of all documents
     once.  Sources are compared trimmed, in lower case, with ``-`` read as ``_``.
@@ -79,7 +80,8 @@ def choose_documents(documents: DataFrame, goals: DataFrame, rank_file: str | No
     ``max_repeats`` binds; a shortfall is not made up by other sources.
     """
     counted = cut_lineage(count_tokens(documents, "text", ["doc_id", "source"], rank_file).withColumn("source", source_form(F.col("source"))))
-    wanted = goals.select(source_form(F.col("source")).alias("source"), "goal_share", "max_repeats").where("source is not null").dropDuplicates(["source"]).collect()
+    named = goals.select(source_form(F.col("source")).alias("source"), "goal_share", "max_repeats").where("source is not null")
+    wanted = named.groupBy("source").agg(F.max(F.struct("goal_share", "max_repeats")).alias("g")).select("source", "g.*").collect()
     by_source = counted.join(F.broadcast(goals.select(source_form(F.col("source")).alias("source")).distinct()), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     supply = {row["source"]: row["tokens"] or 0 for row in by_source.collect()}
     total = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).collect()[0]["n"]
@@ -104,21 +106,57 @@ def mix_report(used: DataFrame, plans: list[SourcePlan], total: int) -> DataFram
     return joined.withColumn("total_tokens", F.lit(total)).withColumn("reached_share", F.col("used_tokens") / F.greatest(F.lit(total), F.lit(1)))
 
 
+@dataclass(frozen=True)
+class Period:
+    """Blocks of each source in one period of the schedule, and how often it runs."""
+
+    blocks: dict[str, int]
+    runs: int
+
+    @property
+    def slots(self) -> int:
+        """Slots of one period."""
+        return sum(self.blocks.values())
+
+
+def plan_period(tokens: dict[str, int], block_tokens: int = BLOCK_TOKENS, max_slots: int = MAX_SLOTS) -> Period:
+    """The shortest row of equal periods of at most ``max_slots`` slots (or one a
+    source) in which no block holds more than ``block_tokens``.  A source has the
+    same whole number of equal blocks in every period, so its weight is exact."""
+    filled = {name: n for name, n in tokens.items() if n > 0}
+    room = max(1, max_slots - len(filled))
+    runs = max(1, -(-sum(filled.values()) // (block_tokens * room)))
+    return Period({name: -(-n // (block_tokens * runs)) for name, n in sorted(filled.items())}, runs)
+
+
 def interleave(used: DataFrame, block_tokens: int = BLOCK_TOKENS, max_slots: int = MAX_SLOTS) -> DataFrame:
     """One row per copy of a document: doc_id, source, copy, n_tokens, block (of
     its source), slot (in the schedule of all sources).  A copy belongs to the
-    block in which it begins."""
+    block in which it begins.  At every slot each source is less than one of its
+    blocks, which are no longer than ``block_tokens``, from its share."""
+    return _slotted(used, block_tokens, max_slots).select("doc_id", "source", "copy", "n_tokens", "block", "slot")
+
+
+def largest_lag(used: DataFrame, block_tokens: int = BLOCK_TOKENS, max_slots: int = MAX_SLOTS) -> DataFrame:
+    """(source, block_tokens, lag): per source the size of its blocks and the most
+    blocks, before or after one of its slots, that it is from its share."""
+    share = F.col("per_period") / F.col("slots")
+    lag = F.greatest(F.abs(F.col("block") - F.col("slot") * share), F.abs(F.col("block") + 1 - (F.col("slot") + 1) * share))
+    return _slotted(used, block_tokens, max_slots).groupBy("source").agg(F.max("block_size").alias("block_tokens"), F.max(lag).alias("lag"))
+
+
+def _slotted(used: DataFrame, block_tokens: int, max_slots: int) -> DataFrame:
     spark = used.sparkSession
     used = cut_lineage(used.where("copies > 0"))
     sums = {r["source"]: r["n"] for r in used.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n")).collect()}
-    names = sorted(sums)
-    slots = min(max(1, -(-sum(sums.values()) // block_tokens)), max_slots) if names else 1
-    blocks = [max(1, round(sums[n] / sum(sums.values()) * slots)) for n in names]
-    order = pfair_slots(blocks)
-    rows = pa.table({"source": pa.array([names[s] for s, _ in order], pa.string()), "block": pa.array([k for _, k in order], pa.int64()), "slot": pa.array(range(len(order)), pa.int64())})
+    period = plan_period(sums, block_tokens, max_slots)
+    names = list(period.blocks)
+    order = pfair_slots([period.blocks[n] for n in names])
+    rows = pa.table({"source": pa.array([names[s] for s, _ in order], pa.string()), "within": pa.array([k for _, k in order], pa.int64()), "place": pa.array(range(len(order)), pa.int64())})
     schedule = spark.createDataFrame(rows)
-    sizes = spark.createDataFrame([(n, sums[n] / b, b) for n, b in zip(names, blocks)], "source string, block_size double, n_blocks bigint")
+    sizes = spark.createDataFrame([(n, q, q * period.runs, sums[n] / (q * period.runs), period.slots) for n, q in period.blocks.items()], "source string, per_period bigint, n_blocks bigint, block_size double, slots bigint")
     copies = used.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")).join(F.broadcast(sizes), "source")
     start = F.col("copy").cast("bigint") * F.col("supply") + F.col("before")
-    block = F.least(F.floor(start / F.col("block_size")), F.col("n_blocks") - 1)
-    return copies.withColumn("block", block).join(F.broadcast(schedule), ["source", "block"]).select("doc_id", "source", "copy", "n_tokens", "block", "slot")
+    placed = copies.withColumn("block", F.least(F.floor(start / F.col("block_size")), F.col("n_blocks") - 1)).withColumn("within", F.col("block") % F.col("per_period"))
+    slot = F.floor(F.col("block") / F.col("per_period")) * F.col("slots") + F.col("place")
+    return placed.join(F.broadcast(schedule), ["source", "within"]).withColumn("slot", slot)

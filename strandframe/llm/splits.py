@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.operators.scan import running_sum
-from strandframe.operators.skew import salted_join
+from strandframe.operators.skew import follow_join, salted_join
 from strandframe.session import cut_lineage
 
-#: A root with more than 1/BIG of all records is dealt by the driver (there are
-#: fewer than BIG of them); smaller ones are dealt by bands in the cluster.
-BIG = 1024
 #: 2**HASH_BITS parts of the hash order of the roots are summed side by side.
 HASH_BITS = 20
 
@@ -19,9 +16,7 @@ HASH_BITS = 20
 def _follow(df: DataFrame, column: str, parents: DataFrame, spread: list[str]) -> DataFrame:
     """``df`` with ``column`` replaced by its parent where ``parents`` (node,
     parent; unique on node) has one.  Nodes that hold many rows are salted."""
-    held = df.groupBy(column).agg(F.count("*").alias("_n")).withColumnRenamed(column, "node")
-    weighed = parents.join(held, "node").select(F.col("node").alias(column), F.col("parent").alias("_parent"), "_n")
-    joined = salted_join(df, weighed, [column], "_n", spread, "left")
+    joined = follow_join(df, parents.select(F.col("node").alias(column), F.col("parent").alias("_parent")), [column], spread, "left")
     return joined.withColumn(column, F.coalesce("_parent", F.col(column))).select(*df.columns)
 
 
@@ -30,12 +25,13 @@ def tied_pairs(records: DataFrame, game: Column, vid: Column) -> DataFrame:
     each vid to each other one, so that n games give n - 1 edges, not all pairs."""
     pairs = records.select(game.alias("game"), vid.alias("vid")).where("game is not null and vid is not null").distinct()
     hubs = pairs.groupBy("vid").agg(F.min("game").alias("hub"), F.count("*").alias("_n")).where("_n > 1")
-    edges = salted_join(pairs, hubs, ["vid"], "_n", ["game"]).where("game <> hub")
+    edges = follow_join(pairs, hubs.drop("_n"), ["vid"], ["game"]).where("game <> hub")
     return edges.select(F.least("game", "hub").alias("node_a"), F.greatest("game", "hub").alias("node_b")).distinct()
 
 
-def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Boruvka's algorithm: (forest edges, labels node -> root).
+def spanning_forest(edges: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Boruvka's algorithm: (forest edges, labels node -> root), written to the
+    tables ``forest`` and ``labels`` of ``folder`` where that is given.
 
     In each round every component takes its smallest edge in a fixed random
     order (a hash, then the names), the taken edges join the forest, and the
@@ -68,7 +64,11 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         far = _follow(near, "b", parents, ["node_a", "node_b"]).where("a <> b")
         least = far.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("w", "node_a", "node_b")).alias("m"))
         live = cut_lineage(least.select("m.node_a", "m.node_b", "a", "b", "m.w"))
-    return cut_lineage(forest), labels
+    forest = cut_lineage(forest)
+    if folder:
+        for name, kept in (("forest", forest), ("labels", labels)):
+            kept.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return forest, labels
 
 
 def leads(labels: DataFrame) -> DataFrame:
@@ -93,39 +93,52 @@ def group_records(records: DataFrame, game: Column, vid: Column) -> DataFrame:
 def deal_splits(grouped: DataFrame, goals: list[tuple[str, float]]) -> DataFrame:
     """(rec_id, group, split_name): whole groups dealt to the splits by size.
 
-    Groups with more than 1/1024 of the records (fewer than 1024 of them, dealt
-    on the driver) go, largest first, to the split that lacks most.  The others
-    are stratified by size band, a power of two; within a band they lie in the
-    order of a hash, and each goes to the split in whose part of the band the
-    middle of its records lies, the parts being what the splits still lack.  No
-    goals or no records give no rows; goals are scaled to sum to 1.
+    Groups are stratified by size band, a power of two.  Within a band they lie in
+    the order of a hash, and each goes to the split in whose part of the band the
+    middle of its records lies.  The bands are dealt from the largest groups down,
+    and the parts of a band are what the splits still lack after those before, so
+    a band makes up for what the larger groups could not: in the end a split
+    misses its goal by about one of the smallest groups, unless a group is larger
+    than a goal.  The driver sees one row per band and split (at most 64 bands).
+    No goals or no records give no rows; goals are scaled to sum to 1.
     """
     total_goal = sum(share or 0.0 for _, share in goals)
     grouped = cut_lineage(grouped)
-    sizes = cut_lineage(grouped.groupBy("group").agg(F.count("*").alias("size")))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).collect()[0]["n"]
-    spark = grouped.sparkSession
-    if not total or total_goal <= 0:
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("size"))
+    banded = sizes.withColumn("band", F.floor(F.log2("size")).cast("int")).withColumn("place", F.xxhash64("group").bitwiseAND(F.lit((1 << 63) - 1)))
+    laid = cut_lineage(running_sum(banded, ["band"], "place", "size", "upto", bits=63 - HASH_BITS, levels=1))
+    bands = {r["band"]: r["n"] for r in laid.groupBy("band").agg(F.sum("size").alias("n")).collect()}
+    if not bands or total_goal <= 0:
         return grouped.limit(0).withColumn("split_name", F.lit(None).cast("string"))
-    shares = sorted((name, (share or 0.0) / total_goal) for name, share in goals)
-    lacking = {name: share * total for name, share in shares}
-    dealt = []
-    for row in sorted(sizes.where(F.col("size") * BIG > total).collect(), key=lambda r: (-r["size"], r["group"])):
-        split = max(shares, key=lambda s: (lacking[s[0]] if s[1] > 0 else float("-inf"), s[0]))[0]
-        lacking[split] -= row["size"]
-        dealt.append((row["group"], split, row["size"]))
-    left = {name: max(0.0, n) for name, n in lacking.items()}
-    whole = sum(left.values()) or 1.0
-    small = sizes.where(F.col("size") * BIG <= total).withColumn("band", F.floor(F.log2("size")).cast("int")).withColumn("place", F.xxhash64("group").bitwiseAND(F.lit((1 << 63) - 1)))
-    laid = running_sum(small, ["band"], "place", "size", "upto", bits=63 - HASH_BITS, levels=1)
-    bands = laid.groupBy("band").agg(F.sum("size").alias("band_size"))  # at most 64 rows
-    middle = (F.col("upto") - F.col("size") / 2) / F.col("band_size")
-    choice, edge = F.lit(None).cast("string"), 1.0
-    for name, _ in reversed([s for s in shares if left[s[0]] > 0] or shares):
-        choice, edge = F.when(middle <= edge, F.lit(name)).otherwise(choice), edge - left[name] / whole
-    chosen = laid.join(F.broadcast(bands), "band").select("group", F.coalesce(choice, F.lit(max(left, key=lambda n: left[n]))).alias("split_name"), "size")
-    big = spark.createDataFrame(dealt, "group string, split_name string, size bigint")
-    return salted_join(grouped, chosen.unionByName(big), ["group"], "size", ["rec_id"])
+    total = sum(bands.values())
+    lacking = {name: (share or 0.0) / total_goal * total for name, share in sorted(goals) if (share or 0.0) > 0}
+    middle = F.col("upto") - F.col("size") / 2
+    split = F.lit(None).cast("string")
+    for band in sorted(bands, reverse=True):
+        choice = _parts_of_band(middle, bands[band], lacking)
+        for row in laid.where(F.col("band") == band).groupBy(choice.alias("split")).agg(F.sum("size").alias("n")).collect():
+            lacking[row["split"]] -= row["n"]
+        split = F.when(F.col("band") == band, choice).otherwise(split)
+    return salted_join(grouped, laid.select("group", split.alias("split_name"), "size"), ["group"], "size", ["rec_id"])
+
+
+def _parts_of_band(middle: Column, size: int, lacking: dict[str, float]) -> Column:
+    """The split of a position in a band of ``size`` records, parted in
+    proportion to what the splits lack.  The split that lacks most has the centre,
+    where the middle of a group lies that is alone in its band."""
+    lack = {name: max(0.0, n) for name, n in lacking.items()}
+    whole, edge = sum(lack.values()), 0.0
+    most, *rest = sorted(lack, key=lambda name: (-lack[name], name))
+    choice = F.lit(most)
+    edges = []
+    for name in [*rest[::2], most, *rest[1::2]]:
+        n = lack[name]
+        edge += n / whole * size if whole else 0.0
+        edges.append((name, edge, n))
+    for name, upto, n in reversed(edges):
+        if n > 0:
+            choice = F.when(middle <= upto, F.lit(name)).otherwise(choice)
+    return choice
 
 
 def split_report(dealt: DataFrame, goals: DataFrame) -> DataFrame:

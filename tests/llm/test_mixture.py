@@ -5,7 +5,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from strandframe.llm.mixture import choose_documents, interleave, mix_report, pfair_slots, plan_source  # noqa: E402
+from strandframe.llm.mixture import choose_documents, interleave, largest_lag, mix_report, pfair_slots, plan_period, plan_source  # noqa: E402
 
 
 @pytest.mark.parametrize("blocks", [[1], [3, 1], [5, 5, 5], [1, 2, 30, 7], [0, 4, 1], [97, 13, 1, 50]])
@@ -49,6 +49,22 @@ def test_shares_and_repeats(spark):
     assert len({r["slot"] for r in mix}) > 10 and not {900, 901} & {r["doc_id"] for r in mix}
 
 
+@pytest.mark.parametrize("max_slots", [4, 20, 1 << 18])
+def test_periods_keep_blocks_short(spark, max_slots):
+    """However few slots a period has, no block is longer and every lag is below one block."""
+    tokens = {"a": 100_000, "b": 7, "c": 55_555, "d": 0}
+    period = plan_period(tokens, 100, max_slots)
+    assert "d" not in period.blocks and period.slots <= max(max_slots, 3) + 3
+    assert all(tokens[n] / (q * period.runs) <= 100 for n, q in period.blocks.items())
+    rng = random.Random(2)
+    rows = [(i, "red car floats " * rng.randint(1, 9), rng.choice(["a", "a", "b", "c"]), 9) for i in range(300)]
+    used, _, _ = choose_documents(documents(spark, rows), spark.createDataFrame([("a", 0.3, 2), ("b", 0.3, 3), ("c", 0.3, 3), ("a", 0.1, 9)], GOALS))
+    lags = largest_lag(used, 50, max_slots).collect()
+    assert len(lags) == 3 and all(r["lag"] < 1 and r["block_tokens"] <= 50 for r in lags)
+    mix = interleave(used, 50, max_slots).collect()
+    assert len({(r["source"], r["block"]) for r in mix}) == len({r["slot"] for r in mix})
+
+
 def test_nothing_to_mix(spark):
     for rows in ([], [(1, None, "a", 0)], [(1, "text", None, 0)]):
         used, plans, total = choose_documents(documents(spark, rows), spark.createDataFrame([("a", 1.0, 2)], GOALS))

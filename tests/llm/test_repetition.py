@@ -1,7 +1,7 @@
 import random
 import re
 
-from strandframe.llm.repetition import MIN_WORDS, divergence, repetition
+from strandframe.llm.repetition import MIN_WORDS, divergence, language_references, repetition
 
 
 def brute(texts):
@@ -29,10 +29,17 @@ def test_against_brute_force(spark):
 
 
 def test_divergence(spark):
-    usual = [(i, [f"The red car floats above the ground near gate {i} and the wall"]) for i in range(40)]
-    rows = [*usual, (100, ["zq zq zq zq zq zq zq zq zq zq zq zq zq zq zq zq"]), (101, ["short"]), (102, None)]
-    got = {r["rec_id"]: r for r in divergence(spark.createDataFrame(rows, "rec_id int, bugs array<string>"), "rec_id", "bugs").collect()}
-    assert got[100]["word_distance"] > max(got[i]["word_distance"] for i in range(40))
-    assert all(0 <= got[i]["class_distance"] <= 1 for i in range(40))
-    assert got[101]["n_words"] < MIN_WORDS and got[101]["word_distance"] is None and got[102]["class_distance"] is None
-    assert divergence(spark.createDataFrame([], "rec_id int, bugs array<string>"), "rec_id", "bugs").collect() == []
+    english = [f"The red car floats above the ground near gate {i} and the wall" for i in range(40)]
+    german = [f"Der rote Wagen schwebt über dem Boden am Tor {i} und der Mauer" for i in range(40)]
+    documents = spark.createDataFrame([*((t, "en-GB") for t in english), *((t, "DE") for t in german), (None, "en"), ("x", None), ("y", "?")], "text string, lang string")
+    references = language_references(documents, "text", "lang")
+    assert [r.lang for r in references] == ["de", "en"] and all(sum(r.counts) == sum(len(re.findall(r"[^\W\d_]+", t)) for t in (german, english)[i]) for i, r in enumerate(references))
+    rows = [(0, english[:1]), (1, german[:1]), (2, ["zq zq zq zq zq zq zq zq zq zq zq zq zq zq zq zq"]), (3, ["short"]), (4, None), (5, [None, "", "日本語" * 30])]
+    schema = "rec_id int, bugs array<string>"
+    got = {r["rec_id"]: r for r in divergence(spark.createDataFrame(rows, schema), "rec_id", "bugs", references).collect()}
+    assert max(got[0]["word_distance"], got[1]["word_distance"]) < 0.4 < got[2]["word_distance"]
+    assert all(0 <= got[i]["class_distance"] <= 1 for i in range(3))
+    assert got[3]["n_words"] < MIN_WORDS and got[3]["word_distance"] is None and got[4]["class_distance"] is None and got[5]["n_words"] == 1
+    assert divergence(spark.createDataFrame([], schema), "rec_id", "bugs", references).collect() == []
+    alone = divergence(spark.createDataFrame(rows, schema), "rec_id", "bugs", language_references(documents.limit(0), "text", "lang"))
+    assert all(r["word_distance"] is None for r in alone.collect())

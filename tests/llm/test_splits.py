@@ -26,11 +26,12 @@ def components(edges):
 
 
 @pytest.mark.parametrize("kind", ["random", "path", "star", "none"])
-def test_forest(spark, kind):
+def test_forest(spark, kind, tmp_path):
     rng = random.Random(2)
     edges = {"random": [(f"n{rng.randint(0, 40):02}", f"n{rng.randint(0, 40):02}") for _ in range(35)], "path": [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)], "star": [("hub", f"n{i:02}") for i in range(30)], "none": []}[kind]
     edges = sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})
-    forest, labels = spanning_forest(spark.createDataFrame(edges, "node_a string, node_b string"))
+    forest, labels = spanning_forest(spark.createDataFrame(edges, "node_a string, node_b string"), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/forest").count() == forest.count() and spark.read.parquet(f"{tmp_path}/labels").count() == labels.count()
     tree = [tuple(r) for r in forest.collect()]
     want = components(edges)
     assert {r["node"]: r["lead"] for r in leads(labels).collect()} == want
@@ -61,5 +62,8 @@ def test_big_groups_and_nothing(spark):
     few = spark.createDataFrame([(i, "a" if i < 6 else f"b{i}") for i in range(10)], "rec_id int, group string")
     counts = Counter(r["split_name"] for r in deal_splits(few, [("train", 0.6), ("dev", 0.4)]).collect())
     assert counts == {"train": 6, "dev": 4}
+    large = spark.range(3000).select(F.col("id").alias("rec_id"), F.when(F.col("id") < 1000, F.lit("third")).when(F.col("id") < 2400, F.concat(F.lit("m"), F.floor(F.col("id") / 140))).otherwise(F.concat(F.lit("s"), F.col("id"))).alias("group"))
+    counts = Counter(r["split_name"] for r in deal_splits(large, [("train", 0.5), ("dev", 0.3), ("test", 0.2), ("none", 0.0)]).collect())
+    assert counts == {"train": 1500, "dev": 900, "test": 600}
     assert deal_splits(few.limit(0), [("train", 1.0)]).collect() == []
     assert deal_splits(few, []).collect() == []
