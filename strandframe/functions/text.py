@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that do not tell one thing from another.
-STOP_WORDS = ("a", "an", "the", "of", "in", "on", "and", "to", "is", "are", "with", "by")
+STOP_WORDS = (
+    "the", "a", "an", "is", "are", "of", "in", "on", "and", "or", "to", "with", "that", "this", "it", "its", "as", "by", "for", "be", "can", "may", "game",
+    "player", "character", "when", "which", "from", "at", "while", "into",
+)
 
 
 def token_set(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.operators.ordered import running_totals
+
 SPAN = "struct<start:double,end:double>"
 SPANS = f"array<{SPAN}>"
 
@@ -53,12 +55,16 @@ def measure(spans: Column) -> Column:
 
 
 def common_length(a: Column, b: Column) -> Column:
-    """Length of the intersection of two disjoint sets of spans."""
+    """Length of the intersection of two disjoint sets of spans: both lengths less
+    that of their union, which is one fold over the spans in order of start."""
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(float("-inf")).alias("reach"))
 
-    def with_one(x: Column) -> Column:
-        return F.aggregate(b, F.lit(0.0), lambda acc, y: acc + F.greatest(F.lit(0.0), F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])))
+    def step(acc: Column, s: Column) -> Column:
+        fresh = F.greatest(F.lit(0.0), s["end"] - F.greatest(s["start"], acc["reach"]))
+        return F.struct((acc["total"] + fresh).alias("total"), F.greatest(acc["reach"], s["end"]).alias("reach"))
 
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + with_one(x))
+    union = F.aggregate(F.sort_array(F.concat(a, b)), start, step, lambda acc: acc["total"])
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.greatest(F.lit(0.0), measure(a) + measure(b) - union)).otherwise(F.lit(0.0))
 
 
 def temporal_iou(a: Column, b: Column) -> Column:
@@ -102,25 +108,32 @@ def shrink_guarded(w_start: Column, w_end: Column, f_start: Column, f_end: Colum
     return F.struct(F.greatest(w_start, f_start - lack).alias("start"), F.least(w_end, f_end + lack).alias("end"))
 
 
-def overlap_lengths(windows: DataFrame, spans: DataFrame, key: str, window_id: str, bin_seconds: float = 60.0) -> DataFrame:
+def overlap_lengths(windows: DataFrame, spans: DataFrame, key: str, window_id: str) -> DataFrame:
     """(window_id, covered): seconds of each window that the spans of its key cover.
 
     ``windows``: key, window_id, w_start, w_end; ``spans``: key, s_start, s_end,
-    disjoint per key.  Range join by bins: both sides are cut at multiples of
-    ``bin_seconds`` and joined on (key, bin), so that the pairs of one key are
-    spread over its bins and a window meets only spans near it.  Windows without
-    any cover get no row.
+    disjoint per key.  Sweep line: the ends of the spans and of the windows are put
+    in one order per key; the length covered up to a point is a running sum of
+    whole spans and a part of the one it lies in, and a window's cover is the
+    difference at its ends.  No pair of window and span is made, however long they
+    are, and a key may hold any share of the rows.  Windows without any cover get
+    no row; null, NaN and reversed ends have none.
     """
-
-    def binned(df: DataFrame, a: str, b: str) -> DataFrame:
-        usable = df.where(F.col(a) < F.col(b))
-        return usable.withColumn("bin", F.explode(F.sequence(F.floor(F.col(a) / bin_seconds), F.floor(F.col(b) / bin_seconds))))
-
-    left, right = binned(windows, "w_start", "w_end"), binned(spans, "s_start", "s_end")
-    low = F.greatest("w_start", "s_start", F.col("bin") * bin_seconds)
-    high = F.least("w_end", "s_end", (F.col("bin") + 1) * bin_seconds)
-    joined = left.join(right, [key, "bin"]).withColumn("part", high - low).where("part > 0")
-    return joined.groupBy(window_id).agg(F.sum("part").alias("covered"))
+    null = F.lit(None).cast("double")
+    usable = spans.where(F.col(key).isNotNull() & (F.col("s_start") < F.col("s_end")) & ~F.isnan("s_end"))
+    ends = F.explode(F.array(
+        F.struct(F.col("s_start").alias("pos"), F.lit(0.0).alias("length"), F.lit(1).alias("step"), F.col("s_start").alias("opened")),
+        F.struct(F.col("s_end").alias("pos"), (F.col("s_end") - F.col("s_start")).alias("length"), F.lit(-1).alias("step"), null.alias("opened")),
+    ))
+    kind = dict(windows.dtypes)[window_id]
+    events = usable.select(key, ends.alias("e")).select(key, "e.*", F.lit(None).cast(kind).alias("_id"), F.lit(0).alias("sign"))
+    asked = windows.where(F.col(key).isNotNull() & (F.col("w_start") < F.col("w_end")) & ~F.isnan("w_end"))
+    marks = F.explode(F.array(F.struct(F.col("w_start").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("w_end").alias("pos"), F.lit(1).alias("sign"))))
+    probes = asked.select(key, F.col(window_id).alias("_id"), marks.alias("m")).select(key, "m.pos", F.lit(0.0).alias("length"), F.lit(0).alias("step"), null.alias("opened"), "_id", "m.sign")
+    swept = running_totals(events.unionByName(probes), [key], "pos", {"closed": "length", "active": "step"}, ties=["step", "_id", "sign"], highest={"since": "opened"})
+    upto = F.col("closed") + F.when(F.col("active") > 0, F.col("pos") - F.col("since")).otherwise(F.lit(0.0))
+    covered = swept.where("sign <> 0").groupBy(F.col("_id").alias(window_id)).agg(F.sum(F.col("sign") * upto).alias("covered"))
+    return covered.where("covered > 0")
 
 
 def covered_label(covered: Column, start: Column, end: Column, least: float = 0.25) -> Column:

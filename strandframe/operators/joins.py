@@ -1,4 +1,5 @@
-"""Look-ups, set operations on keys, and pairs within a group."""
+"""Look-ups, set operations on keys, and pairs within a group.  Look-ups cut keys
+that hold many rows into parts."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.operators.skew import follow_join
+
 
 def lookup_two_keys(items: DataFrame, item: str, rows: DataFrame, first: str, second: str, keep: list[str]) -> DataFrame:
     """Items joined to the row whose ``first`` key they equal, else whose
@@ -17,7 +20,7 @@ def lookup_two_keys(items: DataFrame, item: str, rows: DataFrame, first: str, se
         one = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*keep)).alias(tag))
         return one.withColumnRenamed(key, item)
 
-    joined = items.join(by(first, "_a"), item, "left").join(by(second, "_b"), item, "left")
+    joined = follow_join(follow_join(items, by(first, "_a"), [item], items.columns, "left"), by(second, "_b"), [item], items.columns, "left")
     found = joined.withColumn("_r", F.coalesce("_a", "_b")).where("_r is not null")
     return found.select(*items.columns, *[F.col(f"_r.{c}").alias(c) for c in keep])
 
@@ -37,7 +40,7 @@ def common_keys(tables: list[DataFrame], key: str) -> DataFrame:
 
 def with_default(left: DataFrame, right: DataFrame, key: str, column: str, default) -> DataFrame:
     """Left join with a default for rows without a match; ``right`` is unique on key."""
-    return left.join(right.select(key, column), key, "left").withColumn(column, F.coalesce(F.col(column), F.lit(default)))
+    return follow_join(left, right.select(key, column), [key], left.columns, "left").withColumn(column, F.coalesce(F.col(column), F.lit(default)))
 
 
 def debiased_pairs(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
@@ -52,7 +55,8 @@ def debiased_pairs(df: DataFrame, group: str, a: str, b: str, value: str) -> Dat
 def split_by_cache(requests: DataFrame, cache: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
     """(hits with their value, distinct missing keys) of requests against a cache
     that is unique on key."""
-    return requests.join(cache.select(key, value), key, "inner"), requests.join(cache, key, "left_anti").select(key).distinct()
+    asked = requests.select(key).where(F.col(key).isNotNull()).distinct()
+    return follow_join(requests, cache.select(key, value), [key], requests.columns), asked.join(cache, key, "left_anti")
 
 
 def cache_key(df: DataFrame, columns: list[str], out: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.operators.ordered import running_totals
+from strandframe.operators.ordered import exact_quantiles, running_totals
 
 
 def score_ties(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
@@ -49,9 +50,9 @@ def mcc(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
 def threshold_grid(df: DataFrame, score: str) -> DataFrame:
     """(t): the distinct values, to six decimals, of the 99 percentiles of the
     score and of 0.05 to 0.95 by 0.05."""
-    points = F.array(*[F.lit(i / 100) for i in range(1, 100)])
+    points = exact_quantiles(df, [], score, [i / 100 for i in range(1, 100)])
     fixed = F.array(*[F.lit(round(0.05 * i, 2)) for i in range(1, 20)])
-    return df.agg(F.percentile(score, points).alias("q")).select(F.explode(F.array_distinct(F.transform(F.concat("q", fixed), lambda t: F.round(t, 6)))).alias("t"))
+    return points.select(F.explode(F.array_distinct(F.transform(F.concat("q", fixed), lambda t: F.round(t, 6)))).alias("t"))
 
 
 def confusion_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -64,8 +65,10 @@ def confusion_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
     grid = [r["t"] for r in threshold_grid(df.where(F.col(score).isNotNull()), score).orderBy("t").collect()]
     usable = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     values = F.array(*[F.lit(t) for t in grid])
-    place = F.size(F.filter(values, lambda t: t <= F.col(score)))
-    counts = usable.groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
+    cut = Bucketizer(splits=[float("-inf"), *grid, float("inf")], inputCol="_score", outputCol="_place", handleInvalid="keep") if grid else None
+    scored = usable.withColumn("_score", F.col(score).cast("double"))
+    placed = cut.transform(scored) if cut else scored.withColumn("_place", F.lit(0.0))
+    counts = placed.groupBy(F.col("_place").cast("int").alias("place")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"))
     total = Window.partitionBy()
     above = Window.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
     slots = df.sparkSession.range(0, len(grid) + 1).select(F.col("id").cast("int").alias("place")).join(counts, "place", "left").fillna(0, ["n", "pos"])

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.operators.resample import MAX_CLUSTERS
 from strandframe.operators.robust import expit, standard_stats
 
 
@@ -96,8 +97,12 @@ def group_folds(groups: list[str], folds: int, seed: int) -> dict[str, int]:
 
 def cross_fit(df: DataFrame, group: str, features: list[str], target: str, folds: int = 5, seed: int = 0, ridge: float = 1.0, out: str = "oof") -> DataFrame:
     """``df`` with the prediction of a model fitted on the other folds of groups.
-    The group names (clusters such as games) are read to the driver."""
-    fold_of = group_folds([r[0] for r in df.select(group).distinct().collect() if r[0] is not None], folds, seed)
+    The group names (clusters such as games, at most MAX_CLUSTERS) are read to the
+    driver and broadcast with their folds."""
+    names = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(MAX_CLUSTERS + 1).collect()]
+    if len(names) > MAX_CLUSTERS:
+        raise ValueError(f"at most {MAX_CLUSTERS} groups can be dealt to folds")
+    fold_of = group_folds(names, folds, seed)
     spark = df.sparkSession
     keyed = df.join(F.broadcast(spark.createDataFrame(list(fold_of.items()), f"`{group}` string, _fold int")), group)
     value = F.lit(None).cast("double")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.operators.ordered import exact_medians
+from strandframe.operators.skew import follow_join
+from strandframe.session import cut_lineage
+
 
 def top_k(df: DataFrame, group: list[str], k: int, order: list[Column]) -> DataFrame:
     """The first ``k`` rows of each group in a total order.  Spark keeps ``k``
@@ -41,21 +47,55 @@ def top_events(df: DataFrame, group: list[str], utility: str, tie: str, threshol
     return top_k(kept, group, most, [F.desc(utility), F.col(tie)])
 
 
-def matched_references(df: DataFrame, group: str, index: str, vector: str, low: str, gap: int, m: int) -> DataFrame:
+#: Rows of one side that are compared with as many of the other in one task.
+TILE = 2048
+
+
+def matched_references(df: DataFrame, group: str, index: str, vector: str, low: str, gap: int, m: int, centred: bool = False, tile: int = TILE) -> DataFrame:
     """(group, index, ref, sim, place): for each row the ``m`` rows of its group
     that are most alike by cosine, then by lowest ``low``, then by index, among
-    those at least ``gap`` places away and not above the group's median of ``low``.
+    those at least ``gap`` places away and not above the group's median of ``low``;
+    where there are fewer, the rows of lowest ``low`` that are far enough fill up.
+    ``centred`` takes the mean off each vector first.
 
-    Groups are sequences of one video, so the pairs within one are few; vectors
-    are scaled to length 1 once, and a similarity is one fold.
+    Both sides of a group are cut into tiles of about ``tile`` rows.  A task
+    multiplies the matrices of two tiles and keeps the best ``m`` of each row of the
+    left one, and the best of all tiles are merged; pairs are never written out.
+    Null groups, vectors and scores have no rows.
     """
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = F.transform(vector, lambda x: x.cast("double") / norm)
-    ready = df.select(group, index, F.explode(F.array(unit)).alias("_u"), F.col(low).alias("_low"))
-    median = ready.groupBy(group).agg(F.median("_low").alias("_mid"))
-    offered = ready.join(median, group).where(F.col("_low") <= F.col("_mid")).select(group, F.col(index).alias("ref"), F.col("_u").alias("_v"), F.col("_low").alias("_l"))
-    pairs = ready.select(group, index, "_u").join(offered, group).where(F.abs(F.col(index) - F.col("ref")) >= gap)
-    sim = F.aggregate(F.zip_with("_u", "_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    ranked = pairs.select(group, index, "ref", sim.alias("sim"), "_l")
-    w = Window.partitionBy(group, index).orderBy(F.desc(F.round("sim", 12)), "_l", "ref")
-    return ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= m).select(group, index, "ref", "sim", "place")
+    usable = df.select(group, index, vector, F.col(low).cast("double").alias("_low")).dropna()
+    ready = cut_lineage(usable.select(group, index, F.col(vector).cast("array<double>").alias("_v"), "_low"))
+    sizes = ready.groupBy(group).agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles")).join(exact_medians(ready, [group], "_low", "_mid"), group)
+    sized = follow_join(ready, sizes, [group], [index]).withColumn("_tile", F.pmod(F.xxhash64(index), F.col("_tiles").cast("bigint")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
+    left = sized.select(group, F.col("_tile").alias("_i"), others.alias("_j"), index, "_v")
+    right = sized.select(F.col(group).alias("_g"), others.alias("_k"), F.col("_tile").alias("_l"), F.col(index).alias("ref"), F.col("_v").alias("_w"), "_low", (F.col("_low") <= F.col("_mid")).alias("_half"))
+    types = dict(df.dtypes)
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        matrix = np.stack(rows.to_numpy()).astype(float)
+        matrix = matrix - matrix.mean(axis=1, keepdims=True) if centred else matrix
+        return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({group: [], index: [], "ref": [], "sim": [], "_low": [], "_half": []})
+        sims = np.round(unit(a["_v"]) @ unit(b["_w"]).T, 12)
+        far = np.abs(a[index].to_numpy()[:, None] - b["ref"].to_numpy()[None, :]) >= gap
+        lows, refs, half = b["_low"].to_numpy(), b["ref"].to_numpy(), b["_half"].to_numpy(dtype=bool)
+        out = []
+        for r in range(len(a)):
+            alike = np.flatnonzero(far[r] & half)
+            alike = alike[np.lexsort((refs[alike], lows[alike], -sims[r, alike]))[:m]]
+            # the rows of lowest score that may fill up, at most 2m for those among them that are alike
+            lowest = np.flatnonzero(far[r])
+            lowest = lowest[np.lexsort((refs[lowest], lows[lowest]))[: 2 * m]]
+            out.extend((r, c) for c in np.union1d(alike, lowest))
+        rows, columns = np.array(out, dtype=int).reshape(-1, 2).T
+        return pd.DataFrame({group: a[group].iloc[0], index: a[index].to_numpy()[rows], "ref": refs[columns], "sim": sims[rows, columns], "_low": lows[columns], "_half": half[columns]})
+
+    near = left.groupBy(group, "_i", "_j").cogroup(right.groupBy("_g", "_k", "_l")).applyInPandas(compare, f"`{group}` {types[group]}, `{index}` {types[index]}, ref {types[index]}, sim double, _low double, _half boolean")
+    # the alike ones come first, by similarity; what fills up follows by score
+    order = [F.desc("_half"), F.desc(F.when(F.col("_half"), F.col("sim"))), F.col("_low"), F.col("ref")]
+    w = Window.partitionBy(group, index).orderBy(*order)
+    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= m).select(group, index, "ref", "sim", "place")

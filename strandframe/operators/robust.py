@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.operators.ordered import exact_medians
+from strandframe.operators.skew import follow_join
+from strandframe.session import cut_lineage
+
 #: Factor from median deviation to standard deviation, least scale.
 MAD_FACTOR, LEAST_SCALE = 1.4826, 0.25
 
 
 def centre(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
-    """``out`` = value less the median of its group.  The median is one exact
-    aggregate per group joined back; null values give null."""
-    medians = df.groupBy(*group).agg(F.median(value).alias("_m"))
-    return df.join(medians, group, "left").withColumn(out, F.col(value) - F.col("_m")).drop("_m")
+    """``out`` = value less the exact median of its group, from ranks; null values
+    and groups give null."""
+    medians = exact_medians(df, group, value, "_m")
+    return follow_join(df, medians, group, df.columns, "left").withColumn(out, F.col(value) - F.col("_m")).drop("_m")
 
 
 def robust_z(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     """``out`` = (value - median) / max(1.4826 · MAD, 0.25) within the group."""
-    centred = centre(df, group, value, "_d")
-    scales = centred.groupBy(*group).agg(F.greatest(F.median(F.abs("_d")) * MAD_FACTOR, F.lit(LEAST_SCALE)).alias("_s"))
-    return centred.join(scales, group, "left").withColumn(out, F.col("_d") / F.col("_s")).drop("_d", "_s")
+    centred = cut_lineage(centre(df, group, value, "_d"))
+    spread = exact_medians(centred.select(*group, F.abs("_d").alias("_a")), group, "_a", "_mad")
+    scales = spread.select(*group, F.greatest(F.col("_mad") * MAD_FACTOR, F.lit(LEAST_SCALE)).alias("_s"))
+    return follow_join(centred, scales, group, df.columns, "left").withColumn(out, F.col("_d") / F.col("_s")).drop("_d", "_s")
 
 
 def standard_stats(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,79 +49,122 @@ def islands(df: DataFrame, group: list[str], index: str, gap: int = 0) -> DataFr
     return runs.select(*group, F.col("from_pos").cast(kind).alias("first"), (F.col("to_pos") - gap - 1).cast(kind).alias("last"), "n")
 
 
-def transitions(df: DataFrame, group: list[str], order: list[str], label: str, add: float = 1.0) -> DataFrame:
+def transitions(df: DataFrame, group: list[str], order: str, label: str, add: float = 1.0, bits: int = 20) -> DataFrame:
     """(n00, n01, n10, n11, a, b): counts of neighbouring 0/1 labels within the
-    groups, a = P(0 -> 1), b = P(1 -> 0) with ``add`` added to each count."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    pairs = df.select(F.lag(label).over(w).alias("p"), F.col(label).alias("q")).where("p is not null and q is not null")
-    n = pairs.agg(*[F.count_if((F.col("p") == i) & (F.col("q") == j)).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)])
+    groups, a = P(0 -> 1), b = P(1 -> 0) with ``add`` added to each count.
+
+    ``order`` is an integer, unique in its group.  Neighbours are found within
+    blocks of 2**bits of it; across blocks the last label of one meets the first of
+    the next, one row a block, so a group may hold any share of the rows.
+    """
+    blocked = df.select(*group, F.col(order).cast("bigint").alias("_at"), F.col(label).alias("q")).withColumn("_blk", F.shiftright("_at", bits))
+    inside = Window.partitionBy(*group, "_blk").orderBy("_at")
+    pairs = blocked.select(F.lag("q").over(inside).alias("p"), "q", F.row_number().over(inside).alias("_k")).where("_k > 1").select("p", "q")
+    edges = blocked.groupBy(*group, "_blk").agg(F.min(F.struct("_at", "q"))["q"].alias("q"), F.max(F.struct("_at", "q"))["q"].alias("_last"))
+    across = edges.select(F.lag("_last").over(Window.partitionBy(*group).orderBy("_blk")).alias("p"), "q")
+    both = pairs.unionByName(across).where("p is not null and q is not null")
+    n = both.agg(*[F.count_if((F.col("p") == i) & (F.col("q") == j)).alias(f"n{i}{j}") for i in (0, 1) for j in (0, 1)])
     a = F.try_divide(F.col("n01") + add, F.col("n00") + F.col("n01") + 2 * add)
     b = F.try_divide(F.col("n10") + add, F.col("n10") + F.col("n11") + 2 * add)
     return n.select("*", a.alias("a"), b.alias("b"))
 
 
+def _padded(profiles: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of the profiles, filled up with NaN; their lengths)."""
+    rows = [np.asarray(p if p is not None else [], dtype=float) for p in profiles]
+    sizes = np.array([len(r) for r in rows])
+    matrix = np.full((len(rows), max(1, int(sizes.max(initial=1)))), np.nan)
+    for i, r in enumerate(rows):
+        matrix[i, : len(r)] = r
+    return matrix, sizes
+
+
 def hmm_posterior(evidence: Column, a: float, b: float) -> Column:
     """Posterior of the second state at each place of a two-state chain that
     starts in its stationary distribution; ``evidence`` are log-likelihood
     ratios, a = P(0 -> 1), b = P(1 -> 0), clipped at 1e-6.  Forward and backward
-    passes are folds over log-odds."""
+    passes over log-odds, linear in the profile, for all profiles of a batch at
+    once.  Null or empty evidence gives an empty array."""
     a, b = min(max(a, 1e-6), 1 - 1e-6), min(max(b, 1e-6), 1 - 1e-6)
 
-    def pushed(f: Column, up: float, stay: float, down: float, rest: float) -> Column:
+    def pushed(f: np.ndarray, up: float, stay: float, down: float, rest: float) -> np.ndarray:
         # log((up + stay·e^f) / (down + rest·e^f)) without overflow
-        big = F.exp(-F.abs(f))
-        num = F.when(f > 0, up * big + stay).otherwise(up + stay * big)
-        den = F.when(f > 0, down * big + rest).otherwise(down + rest * big)
-        return F.ln(num / den)
-
-    def forward(acc: Column, x: Column) -> Column:
-        prior = F.when(F.size(acc) == 0, F.ln(F.lit(a / b))).otherwise(pushed(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)), a, 1 - b, 1 - a, b))
-        return F.concat(acc, F.array(x + prior))
-
-    def backward(acc: Column, x: Column) -> Column:
-        # acc holds struct(g, x) from the end; g of this place from the one after it
-        last = F.try_element_at(acc, F.lit(-1))
-        g = F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(pushed(F.coalesce(last["x"] + last["g"], F.lit(0.0)), b, 1 - b, 1 - a, a))
-        return F.concat(acc, F.array(F.struct(g.alias("g"), x.alias("x"))))
-
-    ahead = F.aggregate(evidence, F.array().cast("array<double>"), forward)
-    behind = F.reverse(F.transform(F.aggregate(F.reverse(evidence), F.array().cast("array<struct<g:double,x:double>>"), backward), lambda s: s["g"]))
-    return F.zip_with(ahead, behind, lambda f, g: 1 / (1 + F.exp(-(f + g))))
+        big = np.exp(-np.abs(f))
+        num = np.where(f > 0, up * big + stay, up + stay * big)
+        den = np.where(f > 0, down * big + rest, down + rest * big)
+        return np.log(num / den)
+
+    @F.pandas_udf("array<double>")
+    def posterior(profiles: pd.Series) -> pd.Series:
+        x, sizes = _padded(profiles)
+        n, t = x.shape
+        ahead, behind = np.zeros((n, t)), np.zeros((n, t))
+        prior = np.full(n, np.log(a / b))
+        for i in range(t):
+            ahead[:, i] = x[:, i] + prior
+            prior = pushed(ahead[:, i], a, 1 - b, 1 - a, b)
+        for i in range(t - 2, -1, -1):
+            # beyond a profile's end nothing is known
+            behind[:, i] = np.where(i + 1 < sizes, pushed(np.nan_to_num(x[:, i + 1]) + behind[:, i + 1], b, 1 - b, 1 - a, a), 0.0)
+        q = 1 / (1 + np.exp(-(ahead + behind)))
+        return pd.Series([row[:size] for row, size in zip(q, sizes)])
+
+    return posterior(evidence)
 
 
 def segment_members(profile: Column, level: float | Column, penalty: float | Column) -> Column:
     """Places (from 0) of the best non-empty set of segments: the sum of
     (x - level) over members less ``penalty`` for each segment after the first is
     greatest.  Equal choices prefer to continue, then the first segment, then a
-    new one; a segment goes on to the end when that is as good.  A fold in O(T)."""
-    path = F.array().cast("array<int>")
-    first = F.struct(F.lit(None).cast("double").alias("inside"), F.lit(None).cast("double").alias("between"), path.alias("p1"), path.alias("p2"), F.lit(0).alias("t"))
-
-    def step(s: Column, x: Column) -> Column:
-        gain = x - F.lit(level)
-        low = F.lit(float("-inf"))
-        go, new = F.coalesce(s["inside"], low), F.coalesce(s["between"], low) - F.lit(penalty)
-        best = F.greatest(go, F.lit(0.0), new)
-        base = F.when((go >= 0) & (go >= new), s["p1"]).when(F.lit(0.0) >= new, path).otherwise(s["p2"])
-        stay = F.coalesce(s["between"], low) >= go
-        return F.struct(
-            (best + gain).alias("inside"), F.greatest(F.coalesce(s["between"], low), go).alias("between"),
-            F.concat(base, F.array(s["t"])).alias("p1"), F.when(stay, s["p2"]).otherwise(s["p1"]).alias("p2"), (s["t"] + 1).alias("t"),
-        )
-
-    return F.aggregate(profile, first, step, lambda s: F.when(s["t"] == 0, path).when(s["inside"] >= s["between"], s["p1"]).otherwise(s["p2"]))
+    new one; a segment goes on to the end when that is as good.  One pass forth
+    with back pointers and one back, linear in the profile, for all profiles of a
+    batch at once."""
+
+    @F.pandas_udf("array<int>")
+    def members(profiles: pd.Series, levels: pd.Series, penalties: pd.Series) -> pd.Series:
+        x, sizes = _padded(profiles)
+        n, t = x.shape
+        low, cost = levels.to_numpy(dtype=float), penalties.to_numpy(dtype=float)
+        inside, between = np.full(n, -np.inf), np.full(n, -np.inf)
+        came = np.zeros((n, t), dtype=np.int8)  # a member's place before: 0 inside, 1 none, 2 between
+        left = np.zeros((n, t), dtype=bool)  # between: from inside one place before
+        ends = np.zeros(n, dtype=bool)
+        for i in range(t):
+            new = between - cost
+            go = (inside >= 0) & (inside >= new)
+            came[:, i] = np.where(go, 0, np.where(new <= 0, 1, 2))
+            left[:, i] = between < inside
+            gain = x[:, i] - low
+            inside, between = np.maximum(np.maximum(inside, 0.0), new) + gain, np.maximum(between, inside)
+            ends = np.where(i + 1 == sizes, inside >= between, ends)
+        out = []
+        for row, size in enumerate(sizes):
+            path, i, here = [], int(size) - 1, bool(ends[row])
+            while i >= 0:
+                if here:
+                    path.append(i)
+                    if came[row, i] == 1:
+                        break
+                    here = came[row, i] == 0
+                else:
+                    here = bool(left[row, i])
+                i -= 1
+            out.append(path[::-1])
+        return pd.Series(out)
+
+    as_column = [v if isinstance(v, Column) else F.lit(float(v)) for v in (level, penalty)]
+    return members(profile, *as_column)
 
 
 def member_runs(members: Column) -> Column:
-    """array<struct<first:int,last:int>> of the runs of consecutive integers."""
-    kind = "array<struct<first:int,last:int>>"
-
-    def step(acc: Column, m: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), m.alias("last"))))
-        return F.when(m == last["last"] + 1, longer).otherwise(F.concat(acc, F.array(F.struct(m.alias("first"), m.alias("last")))))
-
-    return F.aggregate(F.array_sort(F.array_distinct(members)), F.array().cast(kind), step)
+    """array<struct<first:int,last:int>> of the runs of consecutive integers: the
+    members without one before them and those without one after, side by side."""
+    ordered = F.array_sort(F.array_distinct(F.array_compact(members)))
+    none = F.array(F.lit(None).cast("int"))
+    before, after = F.concat(none, ordered), F.concat(F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), none)
+    firsts = F.array_compact(F.zip_with(ordered, F.slice(before, 1, F.size(ordered)), lambda m, p: F.when(p.isNull() | (m > p + 1), m)))
+    lasts = F.array_compact(F.zip_with(ordered, after, lambda m, q: F.when(m.isNotNull() & (q.isNull() | (q > m + 1)), m)))
+    return F.zip_with(firsts, lasts, lambda f, z: F.struct(f.alias("first"), z.alias("last")))
 
 
 def top_segments(segments: Column, profile: Column, level: float, most: int = 4) -> Column:

@@ -24,6 +24,7 @@ def clean_intervals(df: DataFrame, owner: list[str], start: Column, end: Column)
 def cover_periods(intervals: DataFrame, owner: list[str], bits: int = BLOCK_BITS, count: bool = False) -> DataFrame:
     """Continuous periods of each owner from distinct (owner, from_pos, to_pos).
 
+    Positions are integers or finite numbers; a block spans 2**bits of them.
     Result: owner, ``from_pos``, ``to_pos``, ``depth`` (most intervals active at
     once), ``prev_to`` (end of the period before, null for the first) and, with
     ``count``, ``n`` (intervals of the period).
@@ -39,7 +40,9 @@ def cover_periods(intervals: DataFrame, owner: list[str], bits: int = BLOCK_BITS
     event = F.explode(F.array(F.struct(F.col("from_pos").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("to_pos").alias("pos"), F.lit(-1).alias("step"))))
     events = intervals.select(*owner, event.alias("e")).select(*owner, "e.pos", "e.step")
     net = events.groupBy(*owner, "pos").agg(F.sum("step").alias("net"), *([F.count_if(F.col("step") > 0).alias("starts")] if count else []))
-    net = (net if count else net.where("net <> 0")).withColumn("blk", F.shiftright("pos", bits))
+    whole = dict(intervals.dtypes)["from_pos"] in ("bigint", "int")
+    block = F.shiftright("pos", bits) if whole else F.floor(F.col("pos") / (1 << bits))
+    net = (net if count else net.where("net <> 0")).withColumn("blk", block)
 
     before = Window.partitionBy(*owner).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = net.groupBy(*owner, "blk").agg(F.sum("net").alias("total"), F.max("pos").alias("last_pos"))
@@ -63,12 +66,12 @@ def cover_periods(intervals: DataFrame, owner: list[str], bits: int = BLOCK_BITS
         F.max(F.when(F.col("opens"), F.col("prev_pos"))).alias("prev_to"),
         *([F.sum("starts").alias("n")] if count else []),
     )
-    whole = F.col("from_pos").isNotNull() & F.col("to_pos").isNotNull()
+    complete = F.col("from_pos").isNotNull() & F.col("to_pos").isNotNull()
     order = Window.partitionBy(*owner).orderBy("blk", "frag").rowsBetween(Window.unboundedPreceding, 0)
-    pieces = frags.where(~whole).withColumn("period", F.count("from_pos").over(order))
+    pieces = frags.where(~complete).withColumn("period", F.count("from_pos").over(order))
     crossing = pieces.groupBy(*owner, "period").agg(F.min("from_pos").alias("from_pos"), F.max("to_pos").alias("to_pos"), F.max("depth").alias("depth"), F.max("prev_to").alias("prev_to"), *([F.sum("n").alias("n")] if count else []))
     columns = [*owner, "from_pos", "to_pos", "depth", "prev_to", *(["n"] if count else [])]
-    return frags.where(whole).select(*columns).unionByName(crossing.select(*columns))
+    return frags.where(complete).select(*columns).unionByName(crossing.select(*columns))
 
 
 def overlaps_and_gaps(periods: DataFrame, owner: list[str], longest_gap: int | None) -> DataFrame:

@@ -230,8 +230,8 @@ def signal_report(spark, folder):
 
 
 def call_accounting(spark, folder):
-    events = table(spark, folder, "events", "user_id", "event_type")
-    return events.groupBy("user_id").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).count().fillna(0)
+    """Events of each user by type, whatever the types are."""
+    return table(spark, folder, "events", "user_id", "event_type").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 def option_logprobs(spark, folder):
@@ -299,7 +299,7 @@ select cluster, pred_num, gt_num, round(p, 6) as precision, round(r, 6) as recal
     "signal_report": f"""with {_WINDOWS}, {_CENTRED}, p as ({_auc_sql('', 'w').replace('r as', 'with r as', 1)}), i as ({_auc_sql('', 'c').replace('r as', 'with r as', 1)}), u as ({_auc_sql('user_id', 'w').replace('r as', 'with r as', 1).replace(', 6) as auc', ', 15) as auc')}),
 v as ({_icc_sql('w', 'user_id', 'score', 'b / (b + w) as icc').replace('g as', 'with g as', 1)})
 select 'pooled_auc' as measure, auc as value from p union all select 'centred_auc', auc from i union all select 'median_user_auc', round(median(auc), 6) from u union all select 'icc', round(icc, 6) from v""",
-    "call_accounting": "select user_id, " + ", ".join(f"count(*) filter (where event_type = '{t}') as {t}" for t in ("click", "error", "purchase", "signup", "view")) + " from events group by user_id",
+    "call_accounting": "select user_id, event_type, count(*) as n from events group by user_id, event_type",
     "option_logprobs": """with s as (select user_id, round(ln(sum(value) filter (where event_type = 'error')), 6) as e, round(ln(sum(value) filter (where event_type = 'view')), 6) as v from events where event_type in ('error', 'view') group by 1),
 t as (select *, greatest(coalesce(e, v), coalesce(v, e)) + ln(coalesce(exp(e - greatest(coalesce(e, v), coalesce(v, e))), 0) + coalesce(exp(v - greatest(coalesce(e, v), coalesce(v, e))), 0)) as l from s)
 select user_id, round(e - l, 6) as error_lp, round(v - l, 6) as view_lp, round(e - v, 6) as log_odds from t""",

@@ -3,24 +3,27 @@ tests where SQL cannot state them."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.text import extract_json, number_grid, parse_rating, repair_json
 from strandframe.operators.assign import assign_within
-from strandframe.operators.metrics import average_precision, log_loss
-from strandframe.operators.models import cross_fit, fit_utility
+from strandframe.operators.intervals import named_spans, union_spans
+from strandframe.operators.metrics import average_precision, best_threshold, confusion_sweep, log_loss
+from strandframe.operators.models import cross_fit, fit_utility, group_folds
 from strandframe.operators.ranking import arg_max
-from strandframe.operators.resample import bootstrap_ci, cluster_bootstrap_auc, sums_by_group, wilcoxon_p
+from strandframe.operators.resample import DRAWS, cluster_bootstrap_auc, pair_counts, poisson_bootstrap, poisson_bounds, signed_rank_p, signed_rank_statistics
 from strandframe.operators.robust import logit
 from strandframe.operators.search import ground_event
 from strandframe.plans.evidence import _PROBABLE, _WINDOWS, _probable, windows
-from strandframe.plans.pipeline import best_segmentation, degenerate_reasons, evaluate, generic_evidence, resolve_events, screened_probabilities
+from strandframe.plans.hypotheses import Settings, choose_segmentation, degenerate_reasons, segmentation_cells
+from strandframe.plans.pipeline import evaluate, generic_evidence, resolve_events, screened_probabilities
 from strandframe.sources.tables import table
 
 CLUSTERS = 12
+RATE_DRAWS = DRAWS
+GRID_LEVELS, GRID_PENALTIES = [-1.0, -0.5, 0.0, 0.25, 0.5, 1.0, 1.5], [0.0, 0.25, 0.5, 1.0, 2.0, 4.0]
 GAMMAS = "0.5, 0.75, 1, 1.5, 2"
 
 
@@ -46,23 +49,24 @@ def cross_fitted(spark, folder):
 
 def bootstrap_auc(spark, folder):
     """Pooled AUC with its interval over clusters."""
-    rows = _clustered(spark, folder).groupBy("cluster").agg(F.collect_list("score").alias("s"), F.collect_list("y").alias("y")).collect()
-    out = cluster_bootstrap_auc({r["cluster"]: (np.array(r["s"]), np.array(r["y"])) for r in rows}, 200, 7)
+    out = cluster_bootstrap_auc(pair_counts(_clustered(spark, folder), "cluster", "score", "y"), seed=7)
     return _one(spark, out, "auc double, low double, high double, pct_low double, pct_high double")
 
 
 def bootstrap_rate(spark, folder):
     """Share of positive windows with its interval over users."""
-    _, sums = sums_by_group(windows(spark, folder).withColumn("one", F.lit(1)), "user_id", ["label", "one"])
-    estimate, low, high = bootstrap_ci(sums, lambda s: s[..., 0] / s[..., 1], 500, 7)
-    return _one(spark, {"a": estimate, "b": low, "c": high}, "rate double, low double, high double")
+    drawn = poisson_bootstrap(windows(spark, folder).withColumn("one", F.lit(1)), "user_id", ["label", "one"], RATE_DRAWS, 7)
+    rate = F.try_divide("label", "one")
+    ends = F.percentile(F.when(F.col("draw") >= 0, rate), F.array(F.lit(0.025), F.lit(0.975)))  # of the draws, whose number is fixed
+    return drawn.agg(F.max(F.when(F.col("draw") < 0, rate)).alias("rate"), ends.alias("q")).select(F.round("rate", 9).alias("rate"), F.round(F.get("q", F.lit(0)), 9).alias("low"), F.round(F.get("q", F.lit(1)), 9).alias("high"))
 
 
 def signed_rank(spark, folder):
     """Signed-rank p-value of users' mean scores in even and odd windows."""
     w = windows(spark, folder)
-    rows = w.groupBy("user_id").agg(F.avg(F.when(F.col("idx") % 2 == 0, F.col("score"))).alias("a"), F.avg(F.when(F.col("idx") % 2 == 1, F.col("score"))).alias("b")).where("a is not null and b is not null").collect()
-    return _one(spark, {"n": len(rows), "p": wilcoxon_p(np.array([r["a"] - r["b"] for r in rows]))}, "n_users bigint, p double")
+    rows = w.groupBy("user_id").agg(F.avg(F.when(F.col("idx") % 2 == 0, F.col("score"))).alias("a"), F.avg(F.when(F.col("idx") % 2 == 1, F.col("score"))).alias("b")).where("a is not null and b is not null")
+    sums = signed_rank_statistics(rows.select(F.round(F.col("a") - F.col("b"), 6).alias("d")), "d")
+    return _one(spark, {"n": sums[0], "plus": round(sums[1], 6), "ties": sums[2], "p": round(signed_rank_p(*sums, exact=False), 6)}, "n bigint, plus double, ties double, p double")
 
 
 def _ratings(spark, folder):
@@ -84,7 +88,7 @@ def video_results(spark, folder):
     """Evaluation of each record's spans shifted by a quarter second."""
     records = table(spark, folder, "records", "rec_id", "time_nodes").where("time_nodes is not null")
     entries = records.select(F.col("rec_id").alias("vid"), F.posexplode("time_nodes").alias("pos", "s")).where("size(s) > 0")
-    truth = entries.select("vid", "pos", F.transform("s", lambda x: F.struct(x["start_s"].alias("start"), x["end_s"].alias("end"))).alias("spans")).where("not exists(spans, x -> x.start is null or x.end is null)")
+    truth = entries.select("vid", "pos", union_spans(named_spans(F.col("s"), "start_s", "end_s")).alias("spans"))
     moved = truth.select("vid", "pos", F.transform("spans", lambda x: F.struct((x["start"] + 0.25).alias("start"), (x["end"] + 0.25).alias("end"))).alias("spans"))
     ratings = truth.select("vid", F.col("pos").alias("gt_pos")).join(moved.select("vid", F.col("pos").alias("pred_pos")), "vid").withColumn("rating", F.when(F.col("gt_pos") == F.col("pred_pos"), 5).otherwise(1))
     return evaluate(moved, truth, ratings).select("vid", "gt_num", "pred_num", "score_sum", "n_pairs")
@@ -122,10 +126,17 @@ def best_temperature(spark, folder):
 def segmentation_grid(spark, folder):
     """Mean IoU of each level and penalty against the runs of error windows."""
     w = windows(spark, folder)
-    profiles = w.groupBy(F.col("user_id").alias("vid")).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", ((F.col("score") - 20) / 5).alias("x")))), lambda s: s["x"]).alias("profile")).withColumn("event", F.lit("e"))
-    places = w.select(F.col("user_id").alias("vid"), "idx", "label", F.col("idx").cast("double").alias("start_s"), (F.col("idx") + 1).cast("double").alias("end_s"))
-    truth = places.where("label = 1").groupBy("vid").agg(F.collect_list(F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"))).alias("spans")).select("vid", F.lit("e").alias("event"), "spans")
-    return best_segmentation(profiles, truth, places, [0.0, 0.7], [0.0, 0.8, 3.0])
+    vid = F.col("user_id").alias("vid")
+    profiles = w.groupBy(vid).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", ((F.col("score") - 20) / 5).alias("x")))), lambda s: s["x"]).alias("profile"))
+    places = w.select(vid, "idx", "label", F.col("idx").cast("double").alias("start_s"), (F.col("idx") + 1).cast("double").alias("end_s"), F.lit(None).cast("array<double>").alias("frame_times"))
+    truth = places.where("label = 1").groupBy("vid").agg(union_spans(F.collect_list(F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end")))).alias("g_spans"))
+    game = F.concat(F.lit("c"), F.col("vid") % CLUSTERS)
+    correct = profiles.join(truth, "vid").select("vid", F.lit("e").alias("event"), game.alias("game"), "profile", F.array().cast("array<int>").alias("members"), "g_spans")
+    lengths = places.select("vid", F.lit(None).cast("double").alias("duration")).distinct()
+    cells = segmentation_cells(correct, places, lengths, GRID_LEVELS, GRID_PENALTIES, Settings())
+    folds = group_folds([f"c{i}" for i in range(CLUSTERS)], 5, 0)
+    table_, held = choose_segmentation(cells, folds)
+    return spark.createDataFrame([(x, p, m, held) for x, p, m in table_], "level double, penalty double, mean_iou double, held_out_iou double")
 
 
 def grounded_events(spark, folder):
@@ -170,10 +181,11 @@ def parsed_ratings(spark, folder):
 
 
 def signal_gate(spark, folder):
-    """Reasons against the score as a signal."""
+    """Reasons against the score as a signal: its AUC over clusters, and correlation
+    and rate of the best threshold."""
     auc = bootstrap_auc(spark, folder).collect()[0]
-    rate = bootstrap_rate(spark, folder).collect()[0]["rate"]
-    reasons = degenerate_reasons(auc["low"], None, rate, rate)
+    best = best_threshold(confusion_sweep(_probable(spark, folder), "p", "label")).select("mcc", "positive_rate", ((F.col("tp") + F.col("fn")) / (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn"))).alias("base")).collect()[0]
+    reasons = degenerate_reasons(auc["low"], best["mcc"], best["positive_rate"], best["base"])
     return spark.createDataFrame([(len(reasons), "; ".join(reasons))], "n_reasons int, reasons string")
 
 
@@ -188,7 +200,21 @@ QUERIES = {f.__name__: f for f in (fusion_fit, cross_fitted, bootstrap_auc, boot
 _TEMPERATURE = f"""{_PROBABLE}, g as (select unnest([{GAMMAS}]) as gamma), q as (select cast(gamma as double) as gamma, label, 1 / (1 + exp(-gamma * (ln(p) - ln(1 - p)))) as q from p, g),
 l as (select gamma, round(avg(-(label * ln(greatest(1e-6, least(1 - 1e-6, q))) + (1 - label) * ln(1 - greatest(1e-6, least(1 - 1e-6, q))))), 6) as log_loss from q group by gamma)"""
 
+_DRAWN = f"""{_WINDOWS}, g as (select user_id, cast(sum(label) as double) as y, cast(count(*) as double) as n from w group by 1),
+d as (select y, n, i as draw, ('0x' || substr(md5('7:' || i || ':' || user_id), 1, 8))::bigint / 4294967296.0 as u from g, (select unnest(range(0, {RATE_DRAWS})) as i)),
+r as (select draw, sum(y * t) / sum(n * t) as rate from (select *, {" + ".join(f"cast(u >= {b!r} as int)" for b in poisson_bounds())} as t from d) group by draw)"""
+
 ORACLES = {
+    "video_results": """with e as (select rec_id as vid, unnest(time_nodes) as s from records where time_nodes is not null), n as (select vid, count(*) as n from e where len(s) > 0 group by 1)
+select vid, n as gt_num, n as pred_num, 5.0 * n as score_sum, n as n_pairs from n""",
+    "bootstrap_rate": f"with {_DRAWN} select round((select sum(y) / sum(n) from g), 9) as rate, round(quantile_cont(rate, 0.025), 9) as low, round(quantile_cont(rate, 0.975), 9) as high from r",
+    "signed_rank": f"""with {_WINDOWS}, m as (select user_id, avg(score) filter (where idx % 2 = 0) as a, avg(score) filter (where idx % 2 = 1) as b from w group by 1),
+d as (select round(a - b, 6) as d from m where a is not null and b is not null and round(a - b, 6) <> 0),
+r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as k, count(*) over (partition by abs(d)) as t from d),
+s as (select count(*) as n, sum(k) filter (where d > 0) as plus, cast(sum(t * t - 1) as double) as ties from r),
+z as (select *, abs(plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) / sqrt(2.0) as x from s),
+e as (select *, 1 / (1 + x / 2) as t from z)
+select n, round(plus, 6) as plus, ties, case when n < 10 then 1.0 else round(least(1.0, t * exp(-x * x - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))), 6) end as p from e""",
     "evidence_table": f"""with {_WINDOWS}, b as (select cast(user_id as varchar) as vid, idx, score, min(score) over (partition by user_id) as cf from w),
 a as (select vid, idx, score - cf as x from b), m as (select vid, median(x) as m from a group by vid), d as (select a.vid, idx, x, x - m as d from a join m on a.vid = m.vid), s as (select vid, greatest(median(abs(d)) * 1.4826, 0.25) as s from d group by vid)
 select d.vid, idx, round(x, 6) as lo_abs, round(d / s, 6) as rel_z from d join s on d.vid = s.vid""",

@@ -1,39 +1,23 @@
-"""Composite plans: evidence, hypotheses, runs, evaluation and calibration.
+"""Composite plans: evidence, events, evaluation and comparison.
 
 Model outputs come as tables (scores, texts, ratings); nothing here calls a model.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.text import token_key
 from strandframe.operators.assign import assign_within
-from strandframe.operators.intervals import SPANS, clip_spans, once, temporal_iou
-from strandframe.operators.metrics import evaluation_aggregate, f1_threshold, icc_oneway, roc_auc
-from strandframe.operators.models import cross_fit, fit_utility
-from strandframe.operators.ranking import top_events, top_k
-from strandframe.operators.resample import cluster_bootstrap_auc, paired_bootstrap, permutation_p, sums_by_group, wilcoxon_p
+from strandframe.operators.intervals import temporal_iou
+from strandframe.operators.metrics import evaluation_aggregate, icc_oneway, roc_auc
+from strandframe.operators.ordered import exact_medians
+from strandframe.operators.ranking import top_k
+from strandframe.operators.resample import DRAWS, paired_bootstrap, permutation_p, signed_rank_p, signed_rank_statistics, sums_by_group
 from strandframe.operators.robust import robust_z
-from strandframe.operators.sequence import member_runs, segment_members, top_segments
-
-FEATURES = ("support", "rank_share", "peak", "mean", "contrast")
-
-
-@dataclass(frozen=True)
-class RunConfig:
-    """Parameters of a run; the grid values are swept by calibration."""
-
-    level: float = 0.0
-    penalty: float = 1.0
-    most_segments: int = 4
-    most_hypotheses: int = 3
-    most_events: int = 6
-    threshold: float | None = None
+from strandframe.session import cut_lineage
 
 
 def generic_evidence(scores: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -75,41 +59,6 @@ def verified_profiles(hypotheses: DataFrame, scores: DataFrame, prior: DataFrame
     return rows.groupBy("vid", "event").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", (F.col("lo") - F.coalesce("lo_prior", F.lit(0.0))).alias("x")))), lambda s: s["x"]).alias("profile"))
 
 
-def hypothesis_rows(hypotheses: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Features of each hypothesis: support, 1/rank, peak, mean, and inside less
-    outside of its members; 0 where undefined."""
-    joined = hypotheses.join(profiles, ["vid", "event"])
-    marked = F.transform("profile", lambda x, i: F.struct(x.alias("x"), F.array_contains("members", i).alias("own")))
-
-    def mean(of):
-        return F.try_divide(F.aggregate(of, F.lit(0.0), lambda a, s: a + s["x"]), F.size(of))
-
-    inside, outside = F.filter(marked, lambda s: s["own"]), F.filter(marked, lambda s: ~s["own"])
-    zero = F.lit(0.0)
-    return joined.select("vid", "event", "profile", "members", "rank", F.col("support").cast("double").alias("support"), (1 / F.col("rank")).alias("rank_share"), F.coalesce(F.array_max("profile"), zero).alias("peak"), F.coalesce(mean(marked), zero).alias("mean"), F.coalesce(mean(inside) - mean(outside), zero).alias("contrast"))
-
-
-def hypothesis_spans(rows: DataFrame, windows: DataFrame, config: RunConfig) -> DataFrame:
-    """(vid, event, spans): the best segments of each profile as times of the
-    windows (vid, idx, start_s, end_s), merged."""
-    parts = rows.select("vid", "event", "profile", once(segment_members(F.col("profile"), config.level, config.penalty), "m"))
-    runs = parts.select("vid", "event", F.explode(top_segments(member_runs(F.col("m")), F.col("profile"), config.level, config.most_segments)).alias("s"))
-    places = runs.select("vid", "event", F.explode(F.sequence("s.first", "s.last")).alias("idx")).join(windows.select("vid", "idx", "start_s", "end_s"), ["vid", "idx"])
-    lists = places.groupBy("vid", "event").agg(F.collect_list(F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"))).alias("s"))
-    return lists.select("vid", "event", clip_spans(F.col("s"), F.lit(None).cast("double")).alias("spans"))
-
-
-def run(rows: DataFrame, windows: DataFrame, model, config: RunConfig) -> DataFrame:
-    """(vid, events: array of (event, utility, spans), no_bugs): predicted utility,
-    selection and spans of each video's hypotheses."""
-    scored = rows.withColumn("utility", model.predict())
-    kept = top_events(scored, ["vid"], "utility", "rank", config.threshold, config.most_events)
-    spans = hypothesis_spans(kept, windows, config)
-    found = kept.select("vid", "event", "utility").join(spans, ["vid", "event"]).groupBy("vid").agg(F.sort_array(F.collect_list(F.struct((-F.col("utility")).alias("order"), "event", "utility", "spans"))).alias("events"))
-    videos = windows.select("vid").distinct()
-    return videos.join(found, "vid", "left").select("vid", F.coalesce(F.transform("events", lambda e: F.struct(e["event"].alias("event"), e["utility"].alias("utility"), e["spans"].alias("spans"))), F.array().cast(f"array<struct<event:string,utility:double,spans:{SPANS}>>")).alias("events"), F.col("events").isNull().alias("no_bugs"))
-
-
 def evaluate(predictions: DataFrame, truth: DataFrame, ratings: DataFrame) -> DataFrame:
     """Per video: gt_num, pred_num, score_sum, score_iou_sum, iou_sum, n_pairs.
 
@@ -125,77 +74,38 @@ def evaluate(predictions: DataFrame, truth: DataFrame, ratings: DataFrame) -> Da
     return sizes.fillna(0, ["gt_num", "pred_num", "score_sum", "score_iou_sum", "iou_sum", "n_pairs"])
 
 
-def compare_methods(results: DataFrame, method: str, cluster: str, draws: int = 2000, seed: int = 0) -> list[dict]:
+def compare_methods(results: DataFrame, method: str, cluster: str, draws: int = DRAWS, seed: int = 0) -> list[dict]:
     """Per method after the first: difference of F1, interval over clusters,
-    permutation and signed-rank p-values.  Only the sums per video and cluster
-    reach the driver."""
+    permutation and signed-rank p-values.  Sums per cluster (at most MAX_CLUSTERS)
+    reach the driver; the videos are ranked in the cluster."""
     columns = ["score_sum", "pred_num", "gt_num"]
     names = [r[0] for r in results.select(method).distinct().orderBy(method).collect()]
 
     def f1(s: np.ndarray) -> np.ndarray:
         return 2 * s[..., 0] / np.maximum(5 * (s[..., 1] + s[..., 2]), 1e-12)
 
-    def of(name: str, key: str) -> tuple[list, np.ndarray]:
-        return sums_by_group(results.where(F.col(method) == name), key, columns)
+    def per_video(name: str, out: str) -> DataFrame:
+        sums = results.where(F.col(method) == name).groupBy("vid").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in columns])
+        return sums.select("vid", (2 * F.col("score_sum") / F.greatest(5 * (F.col("pred_num") + F.col("gt_num")), F.lit(1e-12))).alias(out))
 
     out = []
     for other in names[1:]:
-        (ka, a), (kb, b) = of(names[0], cluster), of(other, cluster)
-        (va, x), (vb, y) = of(names[0], "vid"), of(other, "vid")
-        if ka != kb or va != vb:
+        (ka, a), (kb, b) = (sums_by_group(results.where(F.col(method) == name), cluster, columns) for name in (names[0], other))
+        both = cut_lineage(per_video(names[0], "x").join(per_video(other, "y"), "vid", "full"))
+        if ka != kb or both.where("x is null or y is null").limit(1).count():
             raise ValueError("the methods do not cover the same videos")
         delta, low, high = paired_bootstrap(b, a, f1, draws, seed)
-        out.append({"method": other, "delta": delta, "low": low, "high": high, "p_permutation": permutation_p(f1(b) - f1(a), draws, seed), "p_signed_rank": wilcoxon_p(f1(y) - f1(x))})
+        ranks = signed_rank_statistics(both.select((F.col("y") - F.col("x")).alias("d")), "d")
+        out.append({"method": other, "delta": delta, "low": low, "high": high, "p_permutation": permutation_p(f1(b) - f1(a), draws, seed), "p_signed_rank": signed_rank_p(*ranks)})
     return out
 
 
-def best_segmentation(profiles: DataFrame, truth: DataFrame, windows: DataFrame, levels: list[float], penalties: list[float]) -> DataFrame:
-    """(level, penalty, mean_iou) of each grid cell, best first; equal cells by
-    level, then penalty.  ``truth``: vid, event, spans."""
-    out = None
-    for level in levels:
-        for penalty in penalties:
-            spans = hypothesis_spans(profiles, windows, RunConfig(level=level, penalty=penalty))
-            cell = spans.withColumnRenamed("spans", "mine").join(truth, ["vid", "event"]).agg(F.avg(temporal_iou(F.col("spans"), F.col("mine"))).alias("mean_iou")).select(F.lit(level).alias("level"), F.lit(penalty).alias("penalty"), "mean_iou")
-            out = cell if out is None else out.unionByName(cell)
-    return out.orderBy(F.desc(F.round("mean_iou", 12)), "level", "penalty")
-
-
-def calibrate(rows: DataFrame, target: str, cluster: str, n_gt: int, draws: int = 500, seed: int = 0) -> dict:
-    """Utility model, its threshold by out-of-fold F1, and reasons against using it.
-
-    ``rows``: hypothesis rows with a target in [0, 1] and a cluster.  The
-    out-of-fold scores of the hypotheses of one calibration set (a few per video)
-    are read to the driver for the bootstrap only."""
-    features = list(FEATURES)
-    held_out = cross_fit(rows, cluster, features, target, seed=seed)
-    keyed = held_out.withColumn("key", F.concat_ws(":", "vid", "event"))
-    cut = f1_threshold(keyed, target, "oof", "key", n_gt).collect()
-    labelled = keyed.select(cluster, "oof", (F.col(target) > 0.5).cast("int").alias("y")).toPandas()
-    clusters = {k: (g["oof"].to_numpy(), g["y"].to_numpy()) for k, g in labelled.groupby(cluster)}
-    auc = cluster_bootstrap_auc(clusters, draws, seed)
-    reasons = degenerate_reasons(auc["low"], None, None, None)
-    return {"model": fit_utility(rows, features, target), "threshold": cut[0]["threshold"] if cut else float("inf"), "auc": auc, "reasons": reasons}
-
-
-def degenerate_reasons(auc_low: float | None, mcc: float | None, positive_rate: float | None, base_rate: float | None) -> list[str]:
-    """Why a calibrated signal should not be used; a value of None is not checked."""
-    reasons = []
-    if auc_low is not None and not auc_low > 0.5:
-        reasons.append("the interval of the AUC holds 0.5")
-    if mcc is not None and mcc < 0.10:
-        reasons.append("the correlation at the threshold is below 0.10")
-    if positive_rate is not None and base_rate is not None and not 0.1 * base_rate < positive_rate < 0.98:
-        reasons.append("the threshold accepts almost nothing or almost everything")
-    return reasons
-
-
 def signal_summary(scored: DataFrame, group: str, score: str, label: str) -> dict:
     """Pooled and median per-group AUC and the intraclass correlation of a signal."""
     pooled = roc_auc(scored, [], score, label).collect()
-    per = roc_auc(scored, [group], score, label).agg(F.median("auc").alias("m")).collect()
+    per = exact_medians(roc_auc(scored, [group], score, label), [], "auc", "m").collect()
     icc = icc_oneway(scored, group, score).collect()
-    return {"pooled_auc": pooled[0]["auc"] if pooled else None, "median_auc": per[0]["m"], "icc": icc[0]["icc"]}
+    return {"pooled_auc": pooled[0]["auc"] if pooled else None, "median_auc": per[0]["m"] if per else None, "icc": icc[0]["icc"]}
 
 
 def screened_probabilities(evidence: DataFrame, budget: int) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandframe.plans import evidence, integrity, models, videos
+from strandframe.plans import calibration, evidence, integrity, models, videos
 
-_MODULES = [integrity, evidence, videos, models]
+_MODULES = [integrity, evidence, videos, models, calibration]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

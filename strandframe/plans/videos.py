@@ -11,11 +11,13 @@ from strandframe.operators.intervals import clip_spans, common_length, covered_l
 from strandframe.operators.joins import cache_key, common_keys, debiased_pairs, lookup_two_keys, match_counts, split_by_cache, with_default
 from strandframe.operators.ranking import matched_references
 from strandframe.operators.sequence import even_sample, extend_over_gaps, hmm_posterior, islands, member_runs, onset_offset, segment_members, top_segments, transitions
+from strandframe.operators.sweep import clean_intervals, cover_periods
 from strandframe.plans.evidence import _WINDOWS, windows
 from strandframe.sources.tables import table
 
 HMM_A, HMM_B = 0.2, 0.35
-BIN_SECONDS = 60.0
+#: Blocks of 2**BIN_BITS seconds are swept by themselves.
+BIN_BITS = 10
 
 
 def _all_spans(column: str = "time_nodes"):
@@ -78,9 +80,10 @@ m as (select report_id, len(mine) as n, len(spans) as m, coalesce(list_sum(list_
 def window_labels(spark, folder):
     """Covered seconds and label of each window of a recorded vid."""
     records = table(spark, folder, "records", "vid", "time_nodes").where("vid is not null")
-    spans = records.groupBy("vid").agg(F.flatten(F.collect_list(_all_spans())).alias("s")).select("vid", once(union_spans(F.col("s")), "u")).select("vid", F.explode("u").alias("s")).select("vid", F.col("s.start").alias("s_start"), F.col("s.end").alias("s_end"))
+    each = records.select("vid", F.explode(_all_spans()).alias("s"))
+    spans = cover_periods(clean_intervals(each.select("vid", "s"), ["vid"], F.col("s.start"), F.col("s.end")), ["vid"], BIN_BITS).select("vid", F.col("from_pos").alias("s_start"), F.col("to_pos").alias("s_end"))
     cut = table(spark, folder, "windows", "win_id", "vid", "start_s", "end_s").select("win_id", "vid", F.col("start_s").alias("w_start"), F.col("end_s").alias("w_end"))
-    covered = overlap_lengths(cut, spans, "vid", "win_id", BIN_SECONDS)
+    covered = overlap_lengths(cut, spans, "vid", "win_id")
     joined = cut.where("w_start is not null and w_end is not null").join(covered, "win_id", "left")
     return joined.select("win_id", F.round(F.coalesce("covered", F.lit(0.0)), 6).alias("covered"), covered_label(F.round("covered", 9), F.col("w_start"), F.col("w_end")).alias("label"))
 
@@ -98,8 +101,9 @@ def clipped_spans(spark, folder):
 
 
 def window_frames(spark, folder):
-    """Span of the third to fifth frame of each window, kept inside it."""
-    cut = table(spark, folder, "windows", "win_id", "start_s", "end_s", "frame_times").where("start_s < end_s and size(frame_times) >= 6")
+    """Span of the fourth to sixth frame of each window, kept inside it; the
+    window's own ends where it has no such frame."""
+    cut = table(spark, folder, "windows", "win_id", "start_s", "end_s", "frame_times").where("start_s < end_s")
     out = cut.select("win_id", frame_bounds(F.col("start_s"), F.col("end_s"), F.col("frame_times"), F.lit(3), F.lit(5), 0.25).alias("b"))
     return out.select("win_id", F.round("b.start", 6).alias("from_s"), F.round("b.end", 6).alias("to_s"))
 
@@ -129,7 +133,7 @@ def runs_above_mean(spark, folder):
 
 
 def transition_counts(spark, folder):
-    out = transitions(windows(spark, folder), ["user_id"], ["idx"], "label")
+    out = transitions(windows(spark, folder), ["user_id"], "idx", "label")
     return out.select("n00", "n01", "n10", "n11", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
@@ -328,7 +332,7 @@ select win_id, round(c, 6) as covered, case when end_s > start_s and round(c, 9)
     "rounded_spans": f"with {_RECORD_SPANS} select rec_id, list(floor(a) order by a) as starts, round(sum(round_even(b, 2) - round_even(a, 2)), 2) as length from u group by rec_id",
     "clipped_spans": f"""with {_RECORD_SPANS}, c as (select rec_id, greatest(0, a) as a, case when duration > 0 then least(b, duration) else b end as b from records join u using (rec_id)), n as (select rec_id, count(*) as n, sum(b - a) as s from c where a < b group by rec_id)
 select rec_id, coalesce(n, 0) as n_spans, round(coalesce(s, 0), 6) as covered from records left join n using (rec_id)""",
-    "window_frames": "select win_id, round(greatest(start_s, coalesce(frame_times[4], start_s)), 6) as from_s, round(least(end_s, coalesce(frame_times[6] + 0.25, end_s)), 6) as to_s from windows where start_s < end_s and len(frame_times) >= 6",
+    "window_frames": "select win_id, round(greatest(start_s, coalesce(frame_times[4], start_s)), 6) as from_s, round(least(end_s, coalesce(frame_times[6] + 0.25, end_s)), 6) as to_s from windows where start_s < end_s",
     "frame_sample": """select win_id, coalesce((select string_agg(distinct p, ',' order by p) from (select cast(cast(round_even(i * (len(frame_ids) - 1) / greatest(least(len(frame_ids), 4) - 1, 1), 0) as int) as varchar) as p from (select unnest(range(0, least(len(frame_ids), 4))) as i))), '') as places from windows where frame_ids is not null""",
     "error_islands": f"with {_WINDOWS}, e as (select user_id, idx from w where label = 1), {_island_sql('e', 0)}",
     "bridged_islands": f"with {_WINDOWS}, e as (select user_id, idx from w where label = 1), {_island_sql('e', 1)}",
@@ -367,9 +371,9 @@ select report_id, coalesce(game, 'unknown') as game from report left join g on g
     "cached_requests": f"""with r as (select {_KEY.format('video_name')} as k from report), c as (select distinct {_KEY.format('video_name')} as k from media_files)
 select 'hit' as kind, count(*) as n from r join c using (k) union all select 'missing', count(distinct k) from r where k is not null and k not in (select k from c where k is not null)""",
     "request_keys": """select event_id, sha1('{"event_type":"' || event_type || '","user_id":' || user_id || '}') as key from events""",
-    "entity_buckets": """with t as (select p_partkey, p_name, lower(p_type) as kind, coalesce(nullif(list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda w: length(w) > 2 and w not in ('a','an','the','of','in','on','and','to','is','are','with','by')))), 'string_agg', ' '), ''), p_name) as entity from part)
+    "entity_buckets": """with t as (select p_partkey, p_name, lower(p_type) as kind, coalesce(nullif(list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda w: length(w) > 2 and w not in ('the','a','an','is','are','of','in','on','and','or','to','with','that','this','it','its','as','by','for','be','can','may','game','player','character','when','which','from','at','while','into')))), 'string_agg', ' '), ''), p_name) as entity from part)
 select entity, kind, count(*) as n, min(p_partkey) as first_part, arg_min(p_name, p_partkey) as label from t group by 1, 2""",
-    "token_sets": """select doc_id, coalesce(list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: length(w) > 2 and w not in ('a','an','the','of','in','on','and','to','is','are','with','by')))), 'string_agg', ' '), '') as tokens from documents""",
+    "token_sets": """select doc_id, coalesce(list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: length(w) > 2 and w not in ('the','a','an','is','are','of','in','on','and','or','to','with','that','this','it','its','as','by','for','be','can','may','game','player','character','when','which','from','at','while','into')))), 'string_agg', ' '), '') as tokens from documents""",
     "cleaned_paths": f"select rec_id, regexp_replace({_KEY.format('video_path')}, '[^A-Za-z0-9_.\\-]', '_', 'g') as stem from records",
     "report_export": f"select report_id, {_KEY.format('video_name')} as video_name, coalesce(nullif(trim(game_name), ''), 'Unknown') as game_name, coalesce(no_bugs, coalesce(len(list_filter(bugs, lambda b: trim(b) <> '')), 0) = 0) as no_bugs, coalesce(len(bugs), 0) as n_bugs from report",
     "paired_bugs": "select rec_id, i - 1 as bug_pos, len(time_nodes[i]) as n_spans from (select rec_id, bugs, time_nodes, unnest(range(1, greatest(coalesce(len(bugs), 0), coalesce(len(time_nodes), 0)) + 1)) as i from records) where bugs[i] is not null and len(time_nodes[i]) > 0",

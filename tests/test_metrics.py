@@ -9,7 +9,8 @@ from strandframe.operators.assign import assign_within, best_assignment
 from strandframe.operators.metrics import average_precision, best_threshold, confusion_sweep, evaluation_aggregate, f1_threshold, holm, icc_oneway, roc_auc
 from strandframe.operators.models import cross_fit, fit_logistic, fit_utility, group_folds
 from strandframe.operators.ranking import arg_max, stratified_limit, top_events, top_k
-from strandframe.operators.resample import bootstrap_ci, cluster_bootstrap_auc, exact_permutation, paired_bootstrap, permutation_p, student_quantile, wilcoxon_p
+from strandframe.operators.resample import bootstrap_ci, cluster_bootstrap_auc, exact_permutation, pair_counts, paired_bootstrap, permutation_p, poisson_bootstrap, signed_rank_p, signed_rank_statistics, student_quantile, wilcoxon_p
+from strandframe.operators.ordered import exact_medians, exact_quantiles
 from strandframe.operators.robust import collapse_logprobs, log_odds, normalise_logprobs, robust_z
 
 
@@ -116,9 +117,55 @@ def test_resampling():
     assert low < estimate < high
     assert paired_bootstrap(sums + 1, sums, lambda s: s[..., 0], 200, 1)[1] == pytest.approx(20)
     rng = np.random.default_rng(0)
-    clusters = {str(g): ((y := rng.integers(0, 2, 40)) + rng.normal(0, 0.7, 40), y) for g in range(10)}
-    signal = cluster_bootstrap_auc(clusters, 200, 0)
-    assert signal["low"] > 0.5 and signal["low"] < signal["auc"] < signal["high"]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_cluster_resamples(spark, parts):
+    """Weighted pair counts give the AUC of the rows drawn, whatever the partitions; one cluster holds most rows."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = np.random.default_rng(0)
+        rows = [(f"c{0 if rng.random() < 0.5 else rng.integers(6)}", float(np.round(y + rng.normal(0, 0.7), 1)), int(y)) for y in rng.integers(0, 2, 400)]
+        rows += [("c1", None, 1), (None, 0.5, 1), ("c2", float("nan"), 0), ("c3", 0.1, None)]
+        counts = pair_counts(spark.createDataFrame(rows, "g string, s double, y int"), "g", "s", "y")
+        usable = [r for r in rows if r[0] and r[1] is not None and r[1] == r[1] and r[2] is not None]
+        weights = np.array([[1] * 6, [2, 0, 1, 0, 3, 0]], dtype=float)
+        for w, auc in zip(weights, counts.auc(weights)):
+            drawn = [r for r in usable for _ in range(int(w[counts.names.index(r[0])]))]
+            pos, neg = ([r[1] for r in drawn if r[2] == k] for k in (1, 0))
+            assert auc == pytest.approx(np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg]))
+        signal = cluster_bootstrap_auc(counts, 200, 0)
+        assert signal["low"] > 0.5 and signal["low"] < signal["auc"] < signal["high"]
+        assert np.isnan(cluster_bootstrap_auc(pair_counts(spark.createDataFrame([], "g string, s double, y int"), "g", "s", "y"))["auc"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_signed_ranks_and_draws(spark):
+    rng = np.random.default_rng(2)
+    d = [float(x) for x in np.round(rng.normal(0.3, 1, 60), 1)] + [0.0, float("nan")]
+    df = spark.createDataFrame([(x,) for x in d] + [(None,)], "d double")
+    assert signed_rank_p(*signed_rank_statistics(df, "d")) == pytest.approx(wilcoxon_p(np.array(d)))
+    assert signed_rank_p(*signed_rank_statistics(df.limit(0), "d")) == 1.0
+    rows = spark.createDataFrame([(i, float(i)) for i in range(50)] + [(None, 3.0)], "k int, x double")
+    drawn = {r["draw"]: r["x"] for r in poisson_bootstrap(rows, "k", ["x"], 300, 1).collect()}
+    assert drawn[-1] == sum(range(50)) + 3 and len(drawn) == 301
+    values = np.array([v for k, v in drawn.items() if k >= 0])
+    assert abs(values.mean() - drawn[-1]) < 40 and abs(values.std() - np.sqrt(sum(i * i for i in range(50)))) < 30
+
+
+def test_hot_group_quantiles(spark):
+    """Medians and running sums of 10^6 rows of which one group holds a third, with ties."""
+    df = spark.range(1_000_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), (F.col("id") * 7919 % 1000 / 10).alias("x"))
+    want = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()}
+    assert {r["g"]: r["m"] for r in exact_medians(df, ["g"], "x", "m").collect()} == pytest.approx(want)
+    q = exact_quantiles(df, [], "x", [0.0, 0.1, 0.9, 1.0]).collect()[0]["q"]
+    assert q == pytest.approx(df.agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.0, 0.1, 0.9, 1.0)])).alias("q")).collect()[0]["q"])
+    assert exact_medians(df.limit(0), ["g"], "x", "m").collect() == []
+    one = spark.createDataFrame([(None, 1.0), (None, 4.0), ("a", None), ("b", float("nan")), ("b", 2.0)], "g string, x double")
+    assert {r["g"]: r["m"] for r in exact_medians(one, ["g"], "x", "m").collect()} == {None: 2.5, "b": 2.0}
 
 
 def test_fractional_logistic(spark):

@@ -67,7 +67,7 @@ def test_runs_gaps_and_samples(spark):
 
 def test_transitions_golden(spark):
     rows = [("a", i, y) for i, y in enumerate([0, 0, 1, 1, 0])] + [("b", i, y) for i, y in enumerate([0, 1])]
-    r = transitions(spark.createDataFrame(rows, "s string, i int, y int"), ["s"], ["i"], "y", add=0.0).collect()[0]
+    r = transitions(spark.createDataFrame(rows, "s string, i int, y int"), ["s"], "i", "y", add=0.0).collect()[0]
     assert (r["a"], r["b"]) == (pytest.approx(2 / 3), pytest.approx(1 / 2))
 
 
