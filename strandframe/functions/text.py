@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,3 +110,26 @@ def decode_spans(text: Column) -> Column:
 def strip_fences(text: Column) -> Column:
     """A summary without fenced blocks, trimmed; null when nothing is left."""
     return F.nullif(F.trim(F.regexp_replace(text, r"(?s)```.*?```", "")), F.lit(""))
+
+
+def event_summary(descriptions: Column, written: Column) -> Column:
+    """The summary of an event's descriptions: a single one as it is; else the
+    model's text without fenced blocks, or the first description where nothing is
+    left of it; null without descriptions."""
+    first = F.get(descriptions, F.lit(0))
+    return F.when(F.size(descriptions) == 1, first).when(F.size(descriptions) > 1, F.coalesce(strip_fences(written), first))
+
+
+def fill_template(template: str, **values: Column) -> Column:
+    """``template`` with each {name} replaced by the value of that name; null values
+    read as empty.  Names without a value stay as they are."""
+    parts = re.split(r"(\{\w+\})", template)
+    filled = [F.coalesce(values[p[1:-1]].cast("string"), F.lit("")) if re.fullmatch(r"\{\w+\}", p) and p[1:-1] in values else F.lit(p) for p in parts if p]
+    return F.concat(*filled) if filled else F.lit("")
+
+
+def seeded_noise(key: Column) -> Column:
+    """A number from a string, about normal with mean 0 and variance 1: the sum of
+    the first twelve bytes of its SHA-256, each over 255, less 6."""
+    digest = F.sha2(key, 256)
+    return sum((F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("double") / 255 for i in range(12)), F.lit(0.0)) - 6

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def best_assignment(ratings: np.ndarray) -> list[tuple[int, int]]:
@@ -55,3 +56,43 @@ def assign_within(ratings: DataFrame, group: str, row: str, column: str, rating:
         return pd.DataFrame({group: [key] * len(pairs), row: [table.index[r] for r, _ in pairs], column: [table.columns[c] for _, c in pairs], rating: [float(table.iat[r, c]) for r, c in pairs]})
 
     return ratings.select(group, row, column, rating).where(f"`{group}` is not null").groupBy(group).applyInPandas(run, f"`{group}` {types[group]}, `{row}` {types[row]}, `{column}` {types[column]}, `{rating}` double")
+
+
+def is_best(ratings: np.ndarray, pairs: list[tuple[int, int]], tolerance: float = 1e-9) -> bool:
+    """Whether pairs are one to one and no change of partners along a cycle or path
+    has a greater sum: the residual graph of an optimal assignment has no gain."""
+    rows, columns = ratings.shape
+    if len(pairs) != min(rows, columns) or len({r for r, _ in pairs}) != len(pairs) or len({c for _, c in pairs}) != len(pairs):
+        return False
+    n = max(rows, columns)
+    full = np.zeros((n, n))
+    full[:rows, :columns] = ratings
+    partner = np.full(n, -1)
+    for r, c in pairs:
+        partner[r] = c
+    partner[partner < 0] = sorted(set(range(n)) - set(partner[partner >= 0].tolist()))
+    # gain of row i taking the column of row j; a positive cycle would be an improvement
+    gain = full[:, partner] - full[np.arange(n), partner][:, None]
+    reach = np.zeros(n)
+    for _ in range(n + 1):
+        longer = np.maximum(reach, (reach[:, None] + gain).max(axis=0))
+        if np.all(longer <= reach + tolerance):
+            return True
+        reach = longer
+    return False
+
+
+def assignment_check(ratings: DataFrame, pairs: DataFrame, group: str, row: str, column: str, rating: str) -> DataFrame:
+    """(group, best): whether the pairs (group, row, column) of each group are a best
+    assignment of its ratings; missing pairs rate 0."""
+    types = dict(ratings.dtypes)
+    marked = pairs.select(group, row, column, F.lit(True).alias("_paired"))
+    both = ratings.groupBy(group, row, column).agg(F.max(rating).alias(rating)).join(marked, [group, row, column], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf.pivot_table(index=row, columns=column, values=rating, aggfunc="max", fill_value=0).sort_index().sort_index(axis=1)
+        taken = pdf[pdf["_paired"].fillna(False).astype(bool)]
+        found = list(zip(table.index.get_indexer(taken[row]), table.columns.get_indexer(taken[column])))
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "best": [is_best(table.to_numpy(dtype=float), found)]})
+
+    return both.where(F.col(group).isNotNull()).groupBy(group).applyInPandas(run, f"`{group}` {types[group]}, best boolean")

@@ -51,14 +51,26 @@ def _solid(present: Callable[[int], bool], start: int, end: int, step: int) -> i
     return next((i - step for i in range(start + step, end + step, step) if not present(i)), end)
 
 
-def ground_event(present: Callable[[int], bool], seeds: list[int], size: int, gap: int = 1) -> list[tuple[int, int]]:
+def ground_event(present: Callable[[int], bool], seeds: list[int], size: int, gap: int = 1, recurrence: int | None = None) -> list[tuple[int, int]]:
     """Runs of places of an event, grown from its seeds in both directions over
     gaps of at most ``gap``; seeds that are not present are dropped, runs that
-    meet are one.  What the strides passed over is asked again, so a run has no
+    meet are one.  With ``recurrence`` the places after the last run are asked, from
+    ``gap`` on and that many apart, for the event coming back; each hit is a seed.
+    An event that no seed confirms has no runs.  What the strides passed over is asked again, so a run has no
     longer gaps inside."""
     ask = cache(present)
     runs: list[tuple[int, int]] = []
-    for seed in sorted(set(seeds)):
+    waiting = sorted(set(seeds))
+    while True:
+        if waiting:
+            seed = waiting.pop(0)
+        elif recurrence and runs:
+            probes = range(runs[-1][1] + 1 + gap, size, max(1, recurrence))
+            seed = next((i for i in probes if ask(i)), -1)
+        else:
+            seed = -1
+        if seed < 0 and not waiting:
+            break
         if not 0 <= seed < size or not ask(seed) or (runs and seed <= runs[-1][1]):
             continue
         first, last = seed, seed

@@ -37,6 +37,15 @@ def count_windows(df: DataFrame, group: list[str], order: list[str], size: int =
     return numbered.select(*df.columns, F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("int").alias("idx"))
 
 
+def window_bounds(times: Column, duration: Column, rate: float) -> Column:
+    """struct<start,end> of a window from the times of its frames: from the first to
+    one frame step after the last, but not beyond the duration, and at least 1e-9
+    long.  Null without frames; a null duration does not bound it."""
+    start, last = F.get(times, F.lit(0)), F.try_element_at(times, F.lit(-1))
+    end = F.greatest(F.least(F.coalesce(duration, last + F.lit(1 / rate)), last + F.lit(1 / rate)), start + 1e-9)
+    return F.when(F.size(times) > 0, F.struct(start.alias("start"), end.alias("end")))
+
+
 def islands(df: DataFrame, group: list[str], index: str, gap: int = 0) -> DataFrame:
     """(group, first, last, n): runs of distinct integers of which neighbours differ
     by at most ``gap`` + 1.  An integer is an interval that reaches ``gap`` + 1

@@ -14,6 +14,7 @@ from strandframe.operators.ranking import arg_max, stratified_limit, top_events,
 from strandframe.operators.resample import exact_permutation
 from strandframe.operators.robust import centre, collapse_logprobs, log_odds, logit, normalise_logprobs, robust_z, standard_stats
 from strandframe.operators.sequence import count_windows
+from strandframe.session import cut_lineage
 from strandframe.sources.tables import table
 
 CLUSTERS = 12
@@ -212,11 +213,16 @@ def base_rates(spark, folder):
 
 
 def feature_diagnostics(spark, folder):
-    """AUC of each feature over all windows, and whether it is constant."""
-    w = windows(spark, folder).select("label", F.round("score", 6).alias("score"), F.col("n_events").cast("double").alias("n_events"), F.round(F.col("end_s") - F.col("start_s"), 3).alias("span"))
-    long = w.unpivot("label", ["score", "n_events", "span"], "feature", "score_value").withColumnRenamed("score_value", "score")
+    """AUC and average precision of each feature over all windows, its AUC among
+    the three highest windows of each user, and whether it is constant."""
+    w = windows(spark, folder).select("user_id", "idx", "label", F.round("score", 6).alias("score"), F.col("n_events").cast("double").alias("n_events"), F.round(F.col("end_s") - F.col("start_s"), 3).alias("span"))
+    kept = top_k(w, ["user_id"], 3, [F.desc("score"), F.col("idx")]).select("user_id", "idx", F.lit(True).alias("kept"))
+    marked = w.join(kept, ["user_id", "idx"], "left").withColumn("key", F.col("user_id") * 100000 + F.col("idx"))
+    long = cut_lineage(marked.unpivot(["label", "kept", "key"], ["score", "n_events", "span"], "feature", "score_value").withColumnRenamed("score_value", "score"))
+    screened = roc_auc(long.where("kept"), ["feature"], "score", "label").select("feature", F.round("auc", 6).alias("screened_auc"))
+    precision = average_precision(long, ["feature"], "score", "label", "key").select("feature", F.round("ap", 6).alias("ap"))
     flat = long.groupBy("feature").agg((F.stddev_pop("score") < 1e-9).alias("constant"))
-    return roc_auc(long, ["feature"], "score", "label").join(flat, "feature").select("feature", F.round("auc", 6).alias("auc"), "constant")
+    return roc_auc(long, ["feature"], "score", "label").join(flat, "feature").join(precision, "feature").join(screened, "feature", "left").select("feature", F.round("auc", 6).alias("auc"), "ap", "screened_auc", "constant")
 
 
 def signal_report(spark, folder):
@@ -254,8 +260,9 @@ def top_logprobs(spark, folder):
 QUERIES = {f.__name__: f for f in (window_table, window_robust_z, user_auc, pooled_auc, centred_auc, event_midranks, user_average_precision, mcc_threshold_sweep, mcc_best_threshold, icc_by_user, icc_by_source, standard_features, log_loss_report, logit_scores, linear_score, topk_screen, screen_recall, stratified_sample, top_utility_events, best_event, f1_cut, permutation_exact, holm_table, evaluation, base_rates, feature_diagnostics, signal_report, call_accounting, option_logprobs, top_logprobs)}
 
 _CENTRED = "c as (select label, round(score - median(score) over (partition by user_id), 6) as score from w)"
-_FEATURES = """long as (select label, 'score' as feature, round(score, 6) as score from w union all select label, 'n_events', n_events from w
-  union all select label, 'span', round(end_s - start_s, 3) from w)"""
+_FEATURES = """sc as (select *, user_id * 100000 + idx as key, row_number() over (partition by user_id order by round(score, 6) desc, idx) <= 3 as kept from w),
+long as (select label, key, kept, 'score' as feature, round(score, 6) as score from sc union all select label, key, kept, 'n_events', n_events from sc
+  union all select label, key, kept, 'span', round(end_s - start_s, 3) from sc)"""
 
 ORACLES = {
     "window_table": f"with {_WINDOWS} select user_id, idx, round(score, 6) as score, label, n_events, round(start_s, 3) as start_s, round(end_s, 3) as end_s from w",
@@ -295,7 +302,11 @@ s as (select user_id % {CLUSTERS} as cluster, cast(sum(p) as bigint) as pred_num
 m as (select *, coalesce(s / nullif(5 * pred_num, 0), 0) as p, coalesce(s / nullif(5 * gt_num, 0), 0) as r, coalesce(si / nullif(5 * pred_num, 0), 0) as pi, coalesce(si / nullif(5 * gt_num, 0), 0) as ri from s)
 select cluster, pred_num, gt_num, round(p, 6) as precision, round(r, 6) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1, round(pi, 6) as precision_iou, round(ri, 6) as recall_iou, round(coalesce(2 * pi * ri / nullif(pi + ri, 0), 0), 6) as f1_iou, round(coalesce(i / nullif(n, 0), 0), 6) as mean_iou from m""",
     "base_rates": f"with {_WINDOWS}, u as (select avg(label) as share, sum(label) as pos, count(*) as n from w group by user_id) select round(sum(pos) / sum(n), 6) as base_rate, round(median(share), 6) as median_share, round(avg(cast(share > 0.5 as int)), 6) as majority_share from u",
-    "feature_diagnostics": f"with {_WINDOWS}, {_FEATURES}, {_auc_sql('feature', 'long').replace('select feature, n_pos', 'select a.feature, n_pos').replace('n_pos, n_neg, round', 'round', 1).replace(' as auc from a', ' as auc, (select stddev_pop(score) < 1e-9 from long where long.feature = a.feature) as constant from a')}",
+    "feature_diagnostics": f"""with {_WINDOWS}, {_FEATURES}, scr as (select * from long where kept),
+a as ({_auc_sql('feature', 'long').replace('r as', 'with r as', 1)}), b as ({_auc_sql('feature', 'scr').replace('r as', 'with r as', 1)}),
+k as (select feature, label, row_number() over o as k, sum(label) over (o rows unbounded preceding) as tp from long window o as (partition by feature order by score desc, key)),
+p as (select feature, round(avg(tp / k) filter (where label = 1), 6) as ap from k group by feature), c as (select feature, stddev_pop(score) < 1e-9 as constant from long group by feature)
+select a.feature, a.auc, p.ap, b.auc as screened_auc, c.constant from a join p on p.feature = a.feature join c on c.feature = a.feature left join b on b.feature = a.feature""",
     "signal_report": f"""with {_WINDOWS}, {_CENTRED}, p as ({_auc_sql('', 'w').replace('r as', 'with r as', 1)}), i as ({_auc_sql('', 'c').replace('r as', 'with r as', 1)}), u as ({_auc_sql('user_id', 'w').replace('r as', 'with r as', 1).replace(', 6) as auc', ', 15) as auc')}),
 v as ({_icc_sql('w', 'user_id', 'score', 'b / (b + w) as icc').replace('g as', 'with g as', 1)})
 select 'pooled_auc' as measure, auc as value from p union all select 'centred_auc', auc from i union all select 'median_user_auc', round(median(auc), 6) from u union all select 'icc', round(icc, 6) from v""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.text import extract_json, number_grid, parse_rating, repair_json
-from strandframe.operators.assign import assign_within
+from strandframe.operators.assign import assign_within, assignment_check
 from strandframe.operators.intervals import named_spans, union_spans
 from strandframe.operators.metrics import average_precision, best_threshold, confusion_sweep, log_loss
 from strandframe.operators.models import cross_fit, fit_utility, group_folds
@@ -19,6 +19,7 @@ from strandframe.operators.search import ground_event
 from strandframe.plans.evidence import _PROBABLE, _WINDOWS, _probable, windows
 from strandframe.plans.hypotheses import Settings, choose_segmentation, degenerate_reasons, segmentation_cells
 from strandframe.plans.pipeline import evaluate, generic_evidence, resolve_events, screened_probabilities
+from strandframe.session import cut_lineage
 from strandframe.sources.tables import table
 
 CLUSTERS = 12
@@ -79,9 +80,24 @@ def _ratings(spark, folder):
 
 
 def assignment_totals(spark, folder):
-    """Greatest sum of ratings of a one-to-one matching of each user's events."""
-    pairs = assign_within(_ratings(spark, folder), "vid", "gt_pos", "pred_pos", "rating")
-    return pairs.groupBy("vid").agg(F.count("*").alias("n_pairs"), F.sum("rating").alias("total"))
+    """Pairs of a best one-to-one matching of each user's events by rating, and
+    whether no exchange of partners is better."""
+    ratings = cut_lineage(_ratings(spark, folder))
+    pairs = cut_lineage(assign_within(ratings, "vid", "gt_pos", "pred_pos", "rating"))
+    best = assignment_check(ratings, pairs, "vid", "gt_pos", "pred_pos", "rating")
+    return pairs.groupBy("vid").agg(F.count("*").alias("n_pairs")).join(best, "vid")
+
+
+def fusion_gradient(spark, folder):
+    """Whether the fitted weights are where the gradient of the penalised likelihood
+    is zero, by feature."""
+    rows = _clustered(spark, folder)
+    model = fit_utility(rows, ["score", "n_events"], "y")
+    missed = model.predict() - F.col("y")
+    scaled = {f: (F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(model.features, model.mean, model.sd, strict=True)} | {"bias": F.lit(1.0)}
+    sums = rows.agg(*[F.sum(missed * x).alias(f) for f, x in scaled.items()]).collect()[0]
+    penalty = dict(zip(model.features, model.weights, strict=True))
+    return spark.createDataFrame([(f, abs(sums[f] + penalty.get(f, 0.0)) < 1e-6) for f in scaled], "feature string, flat boolean")
 
 
 def video_results(spark, folder):
@@ -195,7 +211,7 @@ def fitted_precision(spark, folder):
     return average_precision(held.withColumn("k", F.col("user_id") * 1000 + F.col("idx")), ["cluster"], "oof", "y", "k")
 
 
-QUERIES = {f.__name__: f for f in (fusion_fit, cross_fitted, bootstrap_auc, bootstrap_rate, signed_rank, assignment_totals, video_results, evidence_table, two_stage, temperature, best_temperature, segmentation_grid, grounded_events, resolved_events, model_json, repaired_props, parsed_ratings, signal_gate, fitted_precision)}
+QUERIES = {f.__name__: f for f in (fusion_fit, fusion_gradient, cross_fitted, bootstrap_auc, bootstrap_rate, signed_rank, assignment_totals, video_results, evidence_table, two_stage, temperature, best_temperature, segmentation_grid, grounded_events, resolved_events, model_json, repaired_props, parsed_ratings, signal_gate, fitted_precision)}
 
 _TEMPERATURE = f"""{_PROBABLE}, g as (select unnest([{GAMMAS}]) as gamma), q as (select cast(gamma as double) as gamma, label, 1 / (1 + exp(-gamma * (ln(p) - ln(1 - p)))) as q from p, g),
 l as (select gamma, round(avg(-(label * ln(greatest(1e-6, least(1 - 1e-6, q))) + (1 - label) * ln(1 - greatest(1e-6, least(1 - 1e-6, q))))), 6) as log_loss from q group by gamma)"""
@@ -205,6 +221,9 @@ d as (select y, n, i as draw, ('0x' || substr(md5('7:' || i || ':' || user_id),
 r as (select draw, sum(y * t) / sum(n * t) as rate from (select *, {" + ".join(f"cast(u >= {b!r} as int)" for b in poisson_bounds())} as t from d) group by draw)"""
 
 ORACLES = {
+    "assignment_totals": """with g as (select user_id as vid, count(*) filter (where event_type = 'error') as a, count(*) filter (where event_type = 'purchase') as b from events group by 1)
+select vid, least(a, b) as n_pairs, true as best from g where a > 0 and b > 0""",
+    "fusion_gradient": "select unnest(['score', 'n_events', 'bias']) as feature, true as flat",
     "video_results": """with e as (select rec_id as vid, unnest(time_nodes) as s from records where time_nodes is not null), n as (select vid, count(*) as n from e where len(s) > 0 group by 1)
 select vid, n as gt_num, n as pred_num, 5.0 * n as score_sum, n as n_pairs from n""",
     "bootstrap_rate": f"with {_DRAWN} select round((select sum(y) / sum(n) from g), 9) as rate, round(quantile_cont(rate, 0.025), 9) as low, round(quantile_cont(rate, 0.975), 9) as high from r",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions.keys import key_form
+from strandframe.operators.guards import require
+from strandframe.session import cut_lineage
 from strandframe.functions.text import decode_spans, first_filled
 from strandframe.operators.intervals import named_spans, union_spans
 
@@ -52,6 +54,56 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", F.posexplode(items).alias("pos", "item")).select("file", "pos", F.trim("item").alias("item"))
 
 
+def list_media(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the video files below a folder; their contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mp4").load(folder)
+    return found.select("path")
+
+
+def resolve_media(records: DataFrame, media: DataFrame, root: str) -> tuple[DataFrame, int]:
+    """(records with ``video_path`` of their file, number of records without one).
+
+    ``media``: path.  The places, the first that exists counts: in ``root`` by
+    file name, in ``root`` below the game, the record's own absolute path, and any
+    folder one below ``root`` (the first by name).  Records without a file are left
+    out and counted; if none is left the run stops.  A file name is the record's
+    ``video_name`` with ``.mp4``.
+    """
+    base = root.rstrip("/")
+    files = media.select(F.regexp_replace("path", "^file:/*", "/").alias("_path")).distinct()
+    name = F.concat("video_name", F.lit(".mp4"))
+    places = F.array(
+        F.struct(F.lit(0).alias("rank"), F.concat(F.lit(base + "/"), name).alias("_path")),
+        F.struct(F.lit(1).alias("rank"), F.concat(F.lit(base + "/"), F.coalesce("game", F.lit("unknown")), F.lit("/"), name).alias("_path")),
+        F.struct(F.lit(2).alias("rank"), F.when(F.col("video_path").startswith("/"), F.col("video_path")).alias("_path")),
+    )
+    keyed = records.withColumn("_row", F.struct("vid", "video_name", "game", "video_path"))
+    wanted = keyed.select("_row", "video_name").distinct().select("_row", "video_name", F.col("_row.game").alias("game"), F.col("_row.video_path").alias("video_path"))
+    named = wanted.select("_row", F.explode(places).alias("p")).select("_row", "p.rank", "p._path").join(files, "_path")
+    below = files.where(F.regexp_extract("_path", "^(.*)/[^/]+/[^/]+$", 1) == base).select(F.regexp_extract("_path", r"([^/]*)\.mp4$", 1).alias("video_name"), "_path")
+    other = wanted.select("_row", "video_name").join(below, "video_name").select("_path", "_row", F.lit(3).alias("rank"))
+    best = named.select("_path", "_row", "rank").unionByName(other).groupBy("_row").agg(F.min(F.struct("rank", "_path"))["_path"].alias("_path"))
+    joined = cut_lineage(keyed.join(best, "_row", "left"))
+    kept = joined.where("_path is not null").withColumn("video_path", F.col("_path")).select(*records.columns)
+    missing = joined.where("_path is null").count()
+    require(not kept.isEmpty(), "no record has a video file")
+    return kept, missing
+
+
+def split_file(names: list[str], split: str) -> str:
+    """The file of a split: the first by name that begins with the split's name
+    (``train``, ``dev``, ``test``) in any case."""
+    fitting = sorted(n for n in names if n.rsplit("/", 1)[-1].lower().startswith(split.lower()))
+    require(bool(fitting), f"no file for the split {split}")
+    return fitting[0]
+
+
+def read_ground_truth(spark: SparkSession, path: str | None, records: DataFrame) -> DataFrame:
+    """(vid, bug_pos, bug, spans) as an annotation file at ``path`` states them, or
+    from the records where there is none."""
+    return ground_truth(read_annotations(spark, path) if path else records)
+
+
 def ground_truth(records: DataFrame) -> DataFrame:
     """(vid, bug_pos, bug, spans): the bugs whose entry has spans, by position."""
     zipped = records.select("vid", F.posexplode(F.arrays_zip("bugs", "time_nodes")).alias("bug_pos", "z"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, is_dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,3 +43,21 @@ def fingerprint(config) -> str:
 
     values = asdict(config) if is_dataclass(config) else dict(config)
     return hashlib.sha256(json.dumps(values, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def write_run(outputs: DataFrame, folder: str, kind: str, name: str, config) -> str:
+    """Outputs of a run, an evaluation or a calibration (``kind``), one row a video,
+    with the configuration echoed in each, as JSON under ``folder``; the path."""
+    path = f"{folder.rstrip('/')}/{kind}/{name}"
+    write_json(with_config(outputs, config), path)
+    return path
+
+
+def remembered(spark: SparkSession, folder: str, config, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a configuration: read from the partition of its fingerprint
+    under ``folder`` where it has been written, built and written once else."""
+    path = f"{folder.rstrip('/')}/fingerprint={fingerprint(config)}"
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -83,7 +83,7 @@ def test_lookups(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = spark.range(20).select((F.col("id") % 2).alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").cast("double").alias("v"))
+    rows = spark.range(20).select((F.col("id") % 2).alias("k"), F.timestamp_seconds(F.col("id") * 60 + 86400).alias("ts"), F.col("id").cast("double").alias("v"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
 
