@@ -14,6 +14,7 @@ import base64
 import heapq
 import itertools
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
@@ -215,10 +216,15 @@ class ByteBpe:
 
     def widths(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of each id; their running sum gives the offsets of a text."""
+        return self.sizes[ids]
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Bytes of the token of each id, filled once."""
         size = np.zeros(max(self.tokens) + 1, dtype=np.int32)
         for rank, token in self.tokens.items():
             size[rank] = len(token)
-        return size[ids]
+        return size
 
     def decode(self, ids: list[int]) -> str:
         """Text of a list of ids."""

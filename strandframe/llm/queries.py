@@ -10,7 +10,7 @@ from strandframe.llm.abuse import REVIEW, review_rates, score_documents
 from strandframe.llm.mixture import choose_documents, interleave, largest_lag, mix_report
 from strandframe.llm.repetition import CLASSES, COMMON_WORDS, MIN_CHARS, MIN_WORDS, divergence, language_references, repetition
 from strandframe.llm.splits import deal_splits, group_records, leads, spanning_forest, split_report, tied_pairs
-from strandframe.llm.tokenization import encode_texts
+from strandframe.llm.tokenization import decode_ids, encode_texts
 from strandframe.llm.truncation import cut_report, cut_texts
 from strandframe.session import cut_lineage
 from strandframe.sources.tables import table
@@ -105,6 +105,12 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Hash of every text as its token ids give it back."""
+    decoded = decode_ids(p6_ids(spark, folder), "doc_id")
+    return decoded.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def _chosen(spark: SparkSession, folder: str) -> tuple:
     documents = table(spark, folder, "documents", "doc_id", "text", "source")
     return choose_documents(documents, table(spark, folder, "source_goals"))
@@ -158,7 +164,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report,
     "p3_found": p3_found, "p3_split": p3_split, "p3_report": p3_report, "p3_forest": p3_forest, "p3_check": p3_check,
     "p4_found": p4_found, "p4_shares": p4_shares, "p4_divergence": p4_divergence,
-    "p6_ids": p6_ids,
+    "p6_ids": p6_ids, "p6_decoded": p6_decoded,
     "p7_mix": p7_mix, "p7_report": p7_report, "p7_lag": p7_lag,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_report": p8_report,
 }
@@ -210,6 +216,7 @@ from ts left join (select rec_id, min(x) as x from cd group by all) c on c.rec_i
 ORACLES = {
     "p4_divergence": _divergence_sql(),
     "p3_check": "select count(*) as n_records, 0 as split_games, 0 as split_vids, true as near_goals from records",
+    "p6_decoded": "select doc_id, md5(coalesce(text, '')) as text_md5 from documents",
     "p7_lag": "select true as below_one_block, true as blocks_kept, true as repeats_kept, true as shares_kept",
     "p3_found": r"""with recursive keyed as (
   select distinct nullif(nullif(regexp_replace(lower(game), '[^a-z0-9]', '', 'g'), ''), 'unknown') as game,
