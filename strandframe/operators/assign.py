@@ -91,7 +91,7 @@ def assignment_check(ratings: DataFrame, pairs: DataFrame, group: str, row: str,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf.pivot_table(index=row, columns=column, values=rating, aggfunc="max", fill_value=0).sort_index().sort_index(axis=1)
-        taken = pdf[pdf["_paired"].fillna(False).astype(bool)]
+        taken = pdf[pdf["_paired"].notna()]
         found = list(zip(table.index.get_indexer(taken[row]), table.columns.get_indexer(taken[column])))
         return pd.DataFrame({group: [pdf[group].iloc[0]], "best": [is_best(table.to_numpy(dtype=float), found)]})
 

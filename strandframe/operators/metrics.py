@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.operators.ordered import exact_quantiles, running_totals
+from strandframe.session import cut_lineage
 
 
 def score_ties(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
@@ -62,6 +63,7 @@ def confusion_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
     Scores are first counted per grid interval, so the grid (at most 118 values)
     meets as many sums, not the rows.
     """
+    df = cut_lineage(df.select(score, label))  # read for the grid and again for the counts
     grid = [r["t"] for r in threshold_grid(df.where(F.col(score).isNotNull()), score).orderBy("t").collect()]
     usable = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     values = F.array(*[F.lit(t) for t in grid])

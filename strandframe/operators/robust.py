@@ -16,6 +16,7 @@ MAD_FACTOR, LEAST_SCALE = 1.4826, 0.25
 def centre(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     """``out`` = value less the exact median of its group, from ranks; null values
     and groups give null."""
+    df = cut_lineage(df)  # read for the medians and again for the join
     medians = exact_medians(df, group, value, "_m")
     return follow_join(df, medians, group, df.columns, "left").withColumn(out, F.col(value) - F.col("_m")).drop("_m")
 
