@@ -98,6 +98,32 @@ def test_assignment_against_brute_force(spark):
     assert sorted((x["g"], x["p"], x["r"]) for x in assign_within(df, "v", "g", "p", "r").collect()) == [(0, 1, 4.0), (1, 0, 4.0)]
 
 
+def test_groups_are_assigned_in_batches(spark):
+    """No pandas call a group; across batches every group has its own best pairs."""
+    rng = random.Random(3)
+    rows = [(v, f"r{rng.randrange(4)}", c, rng.randrange(6)) for v in range(400) for c in range(rng.randrange(1, 6)) for _ in range(rng.randrange(1, 4))]
+    rows += [(0, None, 1, 5), (1, "r0", None, 5), (2, "r9", 9, None), (None, "r0", 0, 5), (999, "r0", 0, None)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = assign_within(spark.createDataFrame(rows, "v bigint, g string, p int, r int"), "v", "g", "p", "r")
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = []
+    for v in range(400):
+        own = [x for x in rows if x[0] == v and None not in x]
+        g, p = sorted({x[1] for x in own}), sorted({x[2] for x in own})
+        s = np.zeros((len(g), len(p)))
+        for _, a, b, r in own:
+            s[g.index(a), p.index(b)] = max(s[g.index(a), p.index(b)], r)
+        pairs = best_assignment(s)
+        assert sum(s[i, j] for i, j in pairs) == max(sum(s[i, j] for i, j in (zip(range(len(g)), q) if len(g) <= len(p) else zip(q, range(len(p))))) for q in itertools.permutations(range(max(s.shape)), min(s.shape)))
+        want += [(v, g[i], p[j], s[i, j]) for i, j in pairs]
+    assert got == sorted(want)
+
+
 def test_permutations(spark):
     two = spark.createDataFrame([("a", 1.0, 0.0), ("b", 1.0, 0.0)], "g string, x double, y double")
     assert exact_permutation(two, "g", "x", "y").collect()[0]["p"] >= 0.5
