@@ -146,19 +146,15 @@ def segment_members(profile: Column, level: float | Column, penalty: float | Col
             gain = x[:, i] - low
             inside, between = np.maximum(np.maximum(inside, 0.0), new) + gain, np.maximum(between, inside)
             ends = np.where(i + 1 == sizes, inside >= between, ends)
-        out = []
-        for row, size in enumerate(sizes):
-            path, i, here = [], int(size) - 1, bool(ends[row])
-            while i >= 0:
-                if here:
-                    path.append(i)
-                    if came[row, i] == 1:
-                        break
-                    here = came[row, i] == 0
-                else:
-                    here = bool(left[row, i])
-                i -= 1
-            out.append(path[::-1])
+        own, over = np.zeros((n, t), dtype=bool), np.zeros(n, dtype=bool)
+        here = ends
+        for i in range(t - 1, -1, -1):
+            live = (i < sizes) & ~over
+            own[:, i] = live & here
+            over |= own[:, i] & (came[:, i] == 1)
+            here = np.where(live, np.where(here, came[:, i] == 0, left[:, i]), here)
+        places = np.nonzero(own)[1].astype(np.int32)
+        out = np.split(places, np.cumsum(own.sum(axis=1))[:-1])
         return pd.Series(out)
 
     as_column = [v if isinstance(v, Column) else F.lit(float(v)) for v in (level, penalty)]

@@ -6,6 +6,7 @@ the errors of a user are one hypothesis, its purchases another.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from strandframe.operators.metrics import evaluation_aggregate, icc_oneway, roc_
 from strandframe.operators.ordered import exact_medians
 from strandframe.operators.sequence import count_windows
 from strandframe.plans.evidence import _WINDOWS, CLUSTERS, _auc_sql, _icc_sql, windows
-from strandframe.plans.hypotheses import FEATURES, MODES, Settings, ablate, apply_calibration, baseline_spans, calibrate, hypothesis_features, hypothesis_series, hypothesis_spans, match_hypotheses, mode_table, paired_auc, presence, run_hypotheses
+from strandframe.plans.hypotheses import FEATURES, MODES, Calibration, Settings, ablate, apply_calibration, baseline_spans, calibrate, hypothesis_features, hypothesis_series, hypothesis_spans, match_hypotheses, mode_table, paired_auc, presence, run_hypotheses
 from strandframe.plans.pipeline import evaluate
 from strandframe.session import cut_lineage
 from strandframe.sources.tables import table
@@ -27,41 +28,39 @@ PLAIN = Settings(use_segmentation=False)
 
 
 class Videos:
-    """The tables of a run, from the events."""
+    """The tables of a run, from the events; with ``keep`` they are computed once,
+    each from those before it, for plans that read them many times."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, keep: bool = False) -> None:
+        kept = cut_lineage if keep else lambda df: df
         events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value")
         numbered = count_windows(events, ["user_id"], ["ts", "event_id"], position=F.unix_micros(F.col("ts").cast("timestamp")))
         place = F.row_number().over(Window.partitionBy("user_id", "idx").orderBy("ts", "event_id")) - 1
         self.frames = numbered.select(F.col("user_id").alias("vid"), "idx", place.alias("frame"), "event_type")
-        w = windows(spark, folder).select(F.col("user_id").alias("vid"), "idx", F.round("score", 6).alias("score"), "label")
+        self.answers = self.frames.select("vid", F.col("event_type").alias("event"), "idx", "frame", F.lit(1.0).alias("lo"))
+        self.seen = kept(presence(self.answers, 0.0, 0.5))
+        marks = self.seen.select("vid", "idx", F.col("event").alias("event_type")) if keep else self.frames
+        w = kept(windows(spark, folder).select(F.col("user_id").alias("vid"), "idx", F.round("score", 6).alias("score"), "label"))
         self.scores = w
         at = F.col("idx").cast("double")
         self.windows = w.select("vid", "idx", at.alias("start_s"), (at + 1).alias("end_s"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: at + j / 8).alias("frame_times"))
         self.durations = w.groupBy("vid").agg((F.max("idx") + 0.5).alias("duration")).select("vid", F.when(F.col("vid") % 3 == 0, F.col("duration")).alias("duration"))
         self.generic = w.select("vid", "idx", F.round(F.col("score") - 20, 6).alias("lo_abs"), F.round((F.col("score") - 20) / 8 + 1e-9, 6).alias("rel_z"))
-        self.games = w.select("vid", F.concat(F.lit("c"), F.col("vid") % CLUSTERS).alias("game")).distinct()
-        kept = self.frames.where("event_type in ('error', 'purchase')")
-        members = kept.groupBy("vid", F.col("event_type").alias("event")).agg(F.sort_array(F.collect_set("idx")).alias("members"))
+        self.games = kept(w.select("vid", F.concat(F.lit("c"), F.col("vid") % CLUSTERS).alias("game")).distinct())
+        named = marks.where("event_type in ('error', 'purchase')")
+        members = named.groupBy("vid", F.col("event_type").alias("event")).agg(F.sort_array(F.collect_set("idx")).alias("members"))
         rank = F.row_number().over(Window.partitionBy("vid").orderBy(F.desc(F.size("members")), "event"))
-        self.hypotheses = members.select("vid", "event", "members", rank.alias("rank"), (F.col("event") == "purchase").alias("forced"), (F.col("vid") % 5 / 10).alias("prior"))
+        self.hypotheses = kept(members.select("vid", "event", "members", rank.alias("rank"), (F.col("event") == "purchase").alias("forced"), (F.col("vid") % 5 / 10).alias("prior")))
         rows = w.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("idx", "score"))).alias("s"))
         signed = F.when(F.col("event") == "error", F.lit(1.0)).otherwise(F.lit(-1.0))
-        self.profiles = self.hypotheses.select("vid", "event").join(rows, "vid").select("vid", "event", F.transform("s", lambda x: F.round((x["score"] - 20) / 5 * signed, 6)).alias("profile"))
+        self.profiles = kept(self.hypotheses.select("vid", "event").join(rows, "vid").select("vid", "event", F.transform("s", lambda x: F.round((x["score"] - 20) / 5 * signed, 6)).alias("profile")))
         spans = F.struct((at + F.when(F.col("event_type") == "error", 0.25).otherwise(0.0)).alias("start"), (at + F.when(F.col("event_type") == "error", 1.0).otherwise(0.5)).alias("end"))
-        bugs = self.frames.where("event_type in ('error', 'signup')").select("vid", (F.col("event_type") == "signup").cast("int").alias("gt_pos"), "idx", "event_type").distinct()
-        self.truth = bugs.groupBy("vid", "gt_pos").agg(F.collect_list(spans).alias("s")).select("vid", "gt_pos", union_spans(F.col("s")).alias("g_spans"))
+        bugs = marks.where("event_type in ('error', 'signup')").select("vid", (F.col("event_type") == "signup").cast("int").alias("gt_pos"), "idx", "event_type").distinct()
+        self.truth = kept(bugs.groupBy("vid", "gt_pos").agg(F.collect_list(spans).alias("s")).select("vid", "gt_pos", union_spans(F.col("s")).alias("g_spans")))
         rating = F.when((F.col("event") == "error") & (F.col("gt_pos") == 0), 5).when((F.col("event") == "purchase") & (F.col("gt_pos") == 1), 4).otherwise(F.col("vid") % 5)
-        self.ratings = self.hypotheses.select("vid", "event").join(self.truth.select("vid", "gt_pos"), "vid").select("vid", "event", "gt_pos", rating.cast("int").alias("rating"))
-        self.answers = self.frames.select("vid", F.col("event_type").alias("event"), "idx", "frame", F.lit(1.0).alias("lo"))
-
-    def kept(self) -> Videos:
-        """The tables computed once, for plans that read them many times."""
-        for name in ("windows", "durations", "generic", "games", "hypotheses", "profiles", "truth", "ratings"):
-            setattr(self, name, cut_lineage(getattr(self, name)))
-        self.seen = cut_lineage(self.present())
-        self.present = lambda: self.seen
-        return self
+        self.ratings = kept(self.hypotheses.select("vid", "event").join(self.truth.select("vid", "gt_pos"), "vid").select("vid", "event", "gt_pos", rating.cast("int").alias("rating")))
+        self.matches = kept(match_hypotheses(self.truth, self.ratings))
+        self.found: dict[Settings, Calibration] = {}
 
     def rows(self, settings: Settings) -> DataFrame:
         """Hypotheses with their features."""
@@ -69,15 +68,23 @@ class Videos:
 
     def present(self) -> DataFrame:
         """First and last frame of each hypothesis in each window."""
-        return presence(self.answers, 0.0, 0.5)
+        return self.seen
 
     def calibrated(self, settings: Settings):
         """A calibration on all videos."""
-        return calibrate(self.hypotheses, self.profiles, self.generic, self.windows, self.durations, self.truth, match_hypotheses(self.truth, self.ratings), self.games, settings, LEVELS, PENALTIES, self.present())
+        return calibrate(self.hypotheses, self.profiles, self.generic, self.windows, self.durations, self.truth, self.matches, self.games, settings, LEVELS, PENALTIES, self.present())
+
+    def calibration_of(self, settings: Settings) -> Calibration:
+        """A calibration for the settings; it does not depend on whether a run uses
+        the utilities, so such settings share one."""
+        key = replace(settings, use_utility=True)
+        if key not in self.found:
+            self.found[key] = self.calibrated(key)
+        return replace(self.found[key], switches=settings.switches())
 
     def results(self, settings: Settings) -> DataFrame:
         """Calibration, run and evaluation: one row per video."""
-        found = self.calibrated(settings)
+        found = self.calibration_of(settings)
         spans = run_hypotheses(self.hypotheses, self.profiles, self.generic, self.windows, self.durations, found.model, apply_calibration(settings, found), self.present())
         predictions = cut_lineage(spans.select("vid", (F.col("event") == "purchase").cast("int").alias("pos"), "spans"))
         named = F.when(F.col("event") == "purchase", 1).otherwise(0).alias("pred_pos")
@@ -156,14 +163,14 @@ def diagnosis(spark, folder):
 
 def calibration(spark, folder):
     """The cells of the segmentation grid with what the calibration chose."""
-    found = Videos(spark, folder).kept().calibrated(Settings())
+    found = Videos(spark, folder, keep=True).calibrated(Settings())
     rows = [(x, p, round(m, 6), i == 0, found.mode, round(found.held_out_iou, 6), round(found.threshold, 6), len(found.reasons)) for i, (x, p, m) in enumerate(found.grid)]
     return spark.createDataFrame(rows, "level double, penalty double, mean_iou double, chosen boolean, mode string, held_out_iou double, threshold double, n_reasons int")
 
 
 def ablation(spark, folder):
     """Evaluation of the run with all parts, without segmentation, and without utilities."""
-    videos = Videos(spark, folder).kept()
+    videos = Videos(spark, folder, keep=True)
     variants = {"full": Settings(), "no_segmentation": Settings(use_segmentation=False), "no_utility": Settings(use_utility=False)}
     out = evaluation_aggregate(ablate(variants, videos.results), ["method"])
     return out.select("method", "pred_num", "gt_num", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "f1_iou", "mean_iou")])

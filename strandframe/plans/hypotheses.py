@@ -121,6 +121,13 @@ def presence(frames: DataFrame, base: float, margin: float) -> DataFrame:
     return distinct.where(F.col("lo") - base > margin).groupBy("vid", "event", "idx").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
 
 
+def _lengths(windows: DataFrame, durations: DataFrame) -> DataFrame:
+    """(vid, duration, bounds) of the videos with windows: the last window's end
+    where the duration is null or 0; the bounds are idx, start_s, end_s of each window."""
+    ends = windows.groupBy("vid").agg(F.max("end_s").alias("_last"), F.collect_list(F.struct("idx", "start_s", "end_s")).alias("bounds"))
+    return ends.join(durations.select("vid", "duration"), "vid", "left").select("vid", F.coalesce(F.when(F.col("duration") > 0, F.col("duration")), F.col("_last"), F.lit(0.0)).alias("duration"), "bounds")
+
+
 def hypothesis_spans(rows: DataFrame, windows: DataFrame, durations: DataFrame, settings: Settings, present: DataFrame | None = None) -> DataFrame:
     """(vid, event, spans): the time spans of hypotheses in ``settings.mode``.
 
@@ -132,8 +139,7 @@ def hypothesis_spans(rows: DataFrame, windows: DataFrame, durations: DataFrame,
     cross; ``whole``: the whole video.  All are cut to the duration and merged.
     """
     require(settings.mode in MODES, f"no such mode: {settings.mode}")
-    ends = windows.groupBy("vid").agg(F.max("end_s").alias("_last"))
-    lengths = ends.join(durations.select("vid", "duration"), "vid", "left").select("vid", F.coalesce(F.when(F.col("duration") > 0, F.col("duration")), F.col("_last"), F.lit(0.0)).alias("duration"))
+    lengths = _lengths(windows, durations)
     whole = F.when(F.col("duration") > 0, F.array(F.struct(F.lit(0.0).alias("start"), F.col("duration").alias("end")))).otherwise(F.array().cast(SPANS))
     if settings.mode == "whole":
         return rows.select("vid", "event").join(lengths, "vid").select("vid", "event", whole.alias("spans"))
@@ -179,14 +185,20 @@ def match_hypotheses(truth: DataFrame, ratings: DataFrame | None, spans: DataFra
 def segmentation_cells(correct: DataFrame, windows: DataFrame, durations: DataFrame, levels: list[float], penalties: list[float], settings: Settings) -> DataFrame:
     """(vid, event, game, level, penalty, iou) of every grid cell for the correctly
     matched hypotheses (vid, event, game, profile, members, g_spans): the cells are
-    exploded, so the whole grid is one plan and one pass."""
+    exploded, so the whole grid is one plan and one pass.  The bounds of a video's
+    windows go along with its hypotheses, so no cell is shuffled or joined."""
     grid = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("level"), F.lit(float(p)).alias("penalty")) for x in levels for p in penalties]))
-    swept = correct.select("*", grid.alias("c")).select("*", "c.level", "c.penalty").drop("c")
+    parts = int(correct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    timed = correct.join(_lengths(windows, durations), "vid").repartition(parts, "vid", "event")  # small in bytes, but a row is many cells
+    swept = timed.select("*", grid.alias("c")).select("*", "c.level", "c.penalty").drop("c")
     cut = swept.select("*", once(segments_of(F.col("profile"), F.col("members"), settings, F.col("level"), F.col("penalty")), "segs"))
-    named = cut.withColumn("event", F.struct("event", "level", "penalty"))
-    spans = hypothesis_spans(named, windows, durations, replace(settings, mode="window"))
-    scored = spans.join(named.select("vid", "event", "game", "g_spans"), ["vid", "event"])
-    return scored.select("vid", "event.event", "game", "event.level", "event.penalty", temporal_iou(F.col("g_spans"), F.col("spans")).alias("iou"))
+
+    def bounded(s: Column) -> Column:
+        last = F.filter("bounds", lambda b: b["idx"] == s["last"])
+        return F.flatten(F.transform(F.filter("bounds", lambda a: a["idx"] == s["first"]), lambda a: F.transform(last, lambda b: F.struct(a["start_s"].alias("start"), b["end_s"].alias("end")))))
+
+    found = cut.select("*", once(F.flatten(F.transform("segs", bounded)), "_s")).select("*", once(clip_spans(F.col("_s"), F.col("duration")), "spans"))
+    return found.select("vid", "event", "game", "level", "penalty", temporal_iou(F.col("g_spans"), F.col("spans")).alias("iou"))
 
 
 def choose_segmentation(cells: DataFrame, folds: dict[str, int]) -> tuple[list[tuple[float, float, float]], float]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators.assign import assign_within, best_assignment
 from strandframe.operators.metrics import average_precision, best_threshold, confusion_sweep, evaluation_aggregate, f1_threshold, holm, icc_oneway, roc_auc
-from strandframe.operators.models import cross_fit, fit_logistic, fit_utility, group_folds
+from strandframe.operators.models import cross_fit, fit_logistic, fit_utilities, fit_utility, group_folds
 from strandframe.operators.ranking import arg_max, stratified_limit, top_events, top_k
 from strandframe.operators.resample import bootstrap_ci, cluster_bootstrap_auc, exact_permutation, pair_counts, paired_bootstrap, permutation_p, poisson_bootstrap, signed_rank_p, signed_rank_statistics, student_quantile, wilcoxon_p
 from strandframe.operators.ordered import exact_medians, exact_quantiles
@@ -207,3 +207,27 @@ def test_fractional_logistic(spark):
     assert held.where("oof is null").count() == 0 and held.select(F.avg(F.abs(F.col("oof") - F.col("t")))).collect()[0][0] < 0.05
     constant = fit_utility(df.limit(3), ["a", "b"], "t")
     assert constant.features == ()
+
+
+def test_models_are_fitted_side_by_side(spark):
+    """The folds' models share their passes, and each is the one of its own rows."""
+    rng = random.Random(8)
+    rows = [(k, rng.gauss(k, 1 + k), rng.random() if k < 3 else 0.25) for k in range(4) for _ in range(60)] + [(0, None, 0.5), (1, 0.5, None)]
+    df = spark.createDataFrame(rows, "k int, a double, t double").withColumn("b", F.col("a") * F.col("a")).persist()
+    found = fit_utilities(df, "k", ["a", "b"], "t")
+    for k in range(3):
+        x = np.array([(r[1], r[1] ** 2) for r in rows if r[0] == k and r[1] is not None])  # scaled by all rows with features
+        own = np.array([(r[1], r[1] ** 2, r[2]) for r in rows if r[0] == k and None not in r])
+        z = np.column_stack([(own[:, :2] - x.mean(axis=0)) / x.std(axis=0), np.ones(len(own))])
+        beta = np.array([*found[k].weights, found[k].bias])
+        gradient = z.T @ (1 / (1 + np.exp(-z @ beta)) - own[:, 2]) + np.array([1.0, 1.0, 0.0]) * beta
+        assert np.allclose(found[k].mean, x.mean(axis=0)) and np.allclose(found[k].sd, x.std(axis=0)) and np.abs(gradient).max() < 1e-8
+        one = fit_utility(df.where(F.col("k") == k), ["a", "b"], "t")
+        assert np.allclose([*one.weights, one.bias], beta)
+    assert found[3].features == () and found[3].bias == pytest.approx(np.log(1 / 3))
+    spark.sparkContext.setJobGroup("folds", "")
+    try:
+        cross_fit(df.withColumn("g", F.concat(F.lit("g"), (F.monotonically_increasing_id() % 9).cast("string"))), "g", ["a", "b"], "t", folds=5)
+    finally:
+        spark.sparkContext.setJobGroup("rest", "")
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("folds")) <= 40

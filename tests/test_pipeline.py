@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandframe.operators.intervals import temporal_iou
 from strandframe.operators.models import LinearModel
-from strandframe.plans.hypotheses import FEATURES, Settings, ablate, apply_calibration, baseline_spans, calibrate, choose_mode, choose_segmentation, degenerate_reasons, hypothesis_features, hypothesis_series, hypothesis_spans, match_hypotheses, paired_auc, paired_auc_test, presence, run_hypotheses, segmentation_cells
+from strandframe.plans.hypotheses import FEATURES, Settings, ablate, apply_calibration, baseline_spans, calibrate, choose_mode, choose_segmentation, degenerate_reasons, hypothesis_features, hypothesis_series, hypothesis_spans, match_hypotheses, paired_auc, paired_auc_test, presence, run_hypotheses, segmentation_cells, segments_of
 from strandframe.plans.pipeline import compare_methods, evaluate, generic_evidence, method_table, rank_hypotheses, resolve_events, screened_probabilities, signal_summary, verified_profiles
 
 SPANS = "array<struct<start:double,end:double>>"
@@ -58,6 +59,24 @@ def test_segmentation_choice(spark):
     assert choose_mode({"window": 0.5, "frame": 0.5, "whole": 0.4}, "frame") == "frame" and choose_mode({"window": None}, "whole") == "whole"
 
 
+def test_segmentation_cells_are_cut_once(spark):
+    """One pass of the segmentation over the cells, with the overlaps of the spans
+    that a run of each cell finds; windows lost or given twice included."""
+    rng = random.Random(4)
+    windows = spark.createDataFrame([(v, i, float(i), i + rng.choice([1.0, 1.5]), [float(i)]) for v in ("a", "b") for i in [*range(12), 3] if (v, i) != ("b", 5)], "vid string, idx int, start_s double, end_s double, frame_times array<double>")
+    lengths = spark.createDataFrame([("a", 9.5), ("b", None)], "vid string, duration double")
+    correct = spark.createDataFrame([(v, e, "g", [rng.gauss(0, 2) for _ in range(12)], [0], [(2.0, 7.0)]) for v in ("a", "b") for e in ("x", "y")], f"vid string, event string, game string, profile array<double>, members array<int>, g_spans {SPANS}")
+    cells = segmentation_cells(correct, windows, lengths, [-1.0, 0.5], [0.0, 1.0], Settings(most_segments=2))
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = {(r["vid"], r["event"], r["level"], r["penalty"]): r["iou"] for r in cells.collect()}
+    assert len(got) == 16
+    for level, penalty in ((-1.0, 0.0), (0.5, 1.0)):
+        one = Settings(most_segments=2, level=level, penalty=penalty)
+        rows = correct.withColumn("segs", segments_of(F.col("profile"), F.col("members"), one))
+        for r in hypothesis_spans(rows, windows, lengths, one).join(correct.select("vid", "event", "g_spans"), ["vid", "event"]).select("vid", "event", temporal_iou(F.col("g_spans"), F.col("spans")).alias("iou")).collect():
+            assert got[r["vid"], r["event"], level, penalty] == pytest.approx(r["iou"])
+
+
 def test_matching_and_baseline(spark):
     truth = spark.createDataFrame([("a", 0, [(0.0, 2.0)]), ("a", 1, [(4.0, 8.0)])], f"vid string, gt_pos int, g_spans {SPANS}")
     spans = spark.createDataFrame([("a", "x", [(5.0, 8.0)]), ("a", "y", [(20.0, 21.0)])], f"vid string, event string, spans {SPANS}")
